@@ -122,17 +122,21 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
     )
 
 
+def _places(words: Column, phrase: list[str]) -> Column:
+    """Where the words of a phrase stand in a row."""
+
+    def fits(at: Column) -> Column:
+        return F.coalesce(F.array_join(F.slice(words, at + 1, len(phrase)), " ") == " ".join(phrase), F.lit(False))
+
+    return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda at: F.when(F.get(words, at) == phrase[0], fits(at)).otherwise(False))
+
+
 def _phrase_places(phrases: Mapping[str, str]) -> list[Column]:
     """Of the column row: n_words, n_base, first_word, last_word, base (labels in order). Positions are sought only in rows that hold a phrase."""
     row = F.concat(F.lit(" "), "row", F.lit(" "))
     words = F.split("row", " ")
     empty = F.array().cast("array<int>")
-    each = []
-    for phrase in phrases:
-        ws = phrase.split()
-        fits = lambda at, ws=ws: F.forall(F.sequence(F.lit(0), F.lit(len(ws) - 1)), lambda k: F.get(words, at + k) == F.get(F.array(*map(F.lit, ws)), k))
-        places = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda at, ws=ws, fits=fits: (F.get(words, at) == ws[0]) & F.coalesce(fits(at), F.lit(False)))
-        each.append(F.when(F.contains(row, F.lit(f" {phrase} ")), places).otherwise(empty))
+    each = [F.when(F.contains(row, F.lit(f" {p} ")), _places(words, p.split())).otherwise(empty) for p in phrases]
     at = F.flatten(F.array(*each))
     labels = F.filter(F.array(*[F.when(F.contains(row, F.lit(f" {p} ")), F.lit(x)) for p, x in phrases.items()]), lambda x: x.isNotNull())
     n_words = F.when(F.col("row") == "", F.lit(0)).otherwise(F.length("row") - F.length(F.replace("row", F.lit(" "), F.lit(""))) + 1)

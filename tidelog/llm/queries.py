@@ -106,8 +106,8 @@ def _op10_sql() -> str:
     WITH phrases(phrase, label, k) AS (VALUES {phrases}),
     templates(t, label, ws) AS (VALUES {templates}),
     d AS (SELECT doc_id, text, string_split({words("text")}, ' ') AS ws, {words("text")} AS row FROM documents),
-    base AS (SELECT doc_id, label, i - 1 AS at FROM d JOIN phrases ON contains(' ' || row || ' ', ' ' || phrase || ' '), range(1, len(ws) + 1) r(i) WHERE array_to_string(ws[i:i + k - 1], ' ') = phrase),
-    b AS (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list_sort(list_distinct(list(label))) AS base FROM base GROUP BY doc_id),
+    base AS (SELECT doc_id, label, i - 1 AS pos FROM d JOIN phrases ON contains(' ' || row || ' ', ' ' || phrase || ' '), range(1, len(ws) + 1) r(i) WHERE array_to_string(ws[i:i + k - 1], ' ') = phrase),
+    b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS base FROM base GROUP BY doc_id),
     blocks AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10))) AS block FROM documents),
     held AS (SELECT doc_id, list_distinct(string_split({words("block")}, ' ')) AS ws FROM blocks WHERE len(block) > 0),
     hits AS (SELECT doc_id, label, len(list_intersect(h.ws, t.ws)) / len(t.ws) AS share FROM held h, templates t WHERE len(h.ws) >= 0.8 * len(t.ws) - 1e-9 AND len(list_intersect(h.ws, t.ws)) >= 0.8 * len(t.ws) - 1e-9),
