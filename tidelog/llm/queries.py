@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat_format, license_scan, sharding, url_filter
+from . import audio, chat_format, license_scan, sentencepiece_codec, sharding, url_filter
 
 #: The rules of the contract of op7.
 URL_RULES = [
@@ -18,6 +18,9 @@ URL_RULES = [
     ("block", "com", "/de/"),
 ]
 
+#: The public model that op9 and the pipeline use; a path, never a copy in the repository.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -56,6 +59,11 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), SENTENCEPIECE_MODEL)
+    return out.select("doc_id", "ids", "n_tokens", "parity", (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("n_blocks")
 
@@ -66,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_media": op3_media,
         "op7_url_filter": op7_url_filter,
         "op8_chat_format": op8_chat_format,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_license_scan": op10_license_scan,
     }
 
