@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat_format, license_scan, ngram_join, sentencepiece_codec, sharding, url_filter
+from . import audio, chat_format, license_scan, ngram_join, sentencepiece_codec, sharding, suffix_dedup, url_filter
 
 #: The rules of the contract of op7.
 URL_RULES = [
@@ -47,6 +47,10 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_join": op1_ngram_join,
         "op2_sharding": op2_sharding,
         "op3_media": op3_media,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_chat_format": op8_chat_format,
         "op9_sentencepiece": op9_sentencepiece,
