@@ -41,14 +41,13 @@ TEMPLATES = {
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def words_in_row(text: Column) -> Column:
-    """The words of a text (runs of a-z, 0-9 and non-ASCII, A-Z lower-cased), with one space between.
+def split_words(text: Column) -> Column:
+    """The words of a text: runs of a-z, 0-9 and non-ASCII, A-Z lower-cased; an empty string may stand first and last.
 
     The Kelvin sign is the one other character that lower() would turn into a
     letter of a-z alone, so it is kept from it.
     """
-    lower = F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("")))
-    return F.trim(F.regexp_replace(lower, NOT_WORD, " "))
+    return F.split(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("\ue000"))), NOT_WORD)
 
 
 def text_blocks(text: Column) -> Column:
@@ -77,11 +76,11 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
     spark = docs.sparkSession
     own = {t: list(dict.fromkeys(_plain_words(t))) for t in templates}
     vocabulary = sorted({w for ws in own.values() for w in ws})
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), words_in_row(F.col(text)).alias("row"))
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), split_words(F.col(text)).alias("all"))
 
     # How many documents hold each word of a template; at most one row per such word comes back.
-    words = F.array_distinct(F.split("row", " "))
-    held = rows.select(F.explode(F.array_intersect(words, F.array(*map(F.lit, vocabulary)))).alias("word"))
+    held = rows.select(F.explode(F.array_intersect("all", strings(vocabulary))).alias("word"))
     count = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
     order = sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
@@ -97,16 +96,14 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
     starts = sorted({w for w, _, _ in prefix})
 
     # Blocks of documents with a prefix word, then the equi-join on that word.
-    row = F.concat(F.lit(" "), "row", F.lit(" "))
-    some = F.lit(False)
-    for w in starts:
-        some = some | F.contains(row, F.lit(f" {w} "))
-    blocks = F.filter(F.transform(F.when(some, text_blocks(F.col("text"))), lambda b: F.array_distinct(F.split(words_in_row(b), " "))), lambda b: F.arrays_overlap(b, F.array(*map(F.lit, starts))))
-    base = rows.select(F.monotonically_increasing_id().alias("n"), "id", "row", blocks.alias("blocks"))
-    base = base.select("n", "id", *_phrase_places(phrases), F.when(F.size("blocks") > 0, F.col("blocks")).alias("blocks"))
+    some = F.when(F.arrays_overlap("all", strings(starts)), text_blocks(F.col("text")))
+    blocks = F.filter(F.transform(some, lambda b: F.array_remove(F.array_distinct(split_words(b)), "")), lambda b: F.arrays_overlap(b, strings(starts)))
+    places = [F.when(F.array_contains("all", p.split()[0]), _places(F.col("all"), p.split())).otherwise(F.array().cast("array<int>")).alias(f"p{i}") for i, p in enumerate(phrases)]
+    base = rows.select(F.monotonically_increasing_id().alias("n"), "id", "all", blocks.alias("blocks"), *places).select("n", "id", "blocks", *_found(phrases))
+    base = base.withColumn("blocks", F.when(F.size("blocks") > 0, F.col("blocks")))
 
     found = base.select("*", F.posexplode_outer("blocks").alias("block", "held")).drop("blocks")
-    found = found.select("*", F.explode_outer(F.array_intersect("held", F.array(*map(F.lit, starts)))).alias("word"))
+    found = found.select("*", F.explode_outer(F.array_intersect("held", strings(starts))).alias("word"))
     found = found.join(F.broadcast(first), "word", "left").join(F.broadcast(table), "template", "left")
     reach = (F.size("held") >= F.col("need")) & (F.size("words") - F.col("at") >= F.col("need"))
     share = F.when(reach, F.size(F.array_intersect("held", "words")))
@@ -131,13 +128,11 @@ def _places(words: Column, phrase: list[str]) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda at: F.when(F.get(words, at) == phrase[0], fits(at)).otherwise(False))
 
 
-def _phrase_places(phrases: Mapping[str, str]) -> list[Column]:
-    """Of the column row: n_words, n_base, first_word, last_word, base (labels in order). Positions are sought only in rows that hold a phrase."""
-    row = F.concat(F.lit(" "), "row", F.lit(" "))
-    words = F.split("row", " ")
-    empty = F.array().cast("array<int>")
-    each = [F.when(F.contains(row, F.lit(f" {p} ")), _places(words, p.split())).otherwise(empty) for p in phrases]
-    at = F.flatten(F.array(*each))
-    labels = F.filter(F.array(*[F.when(F.contains(row, F.lit(f" {p} ")), F.lit(x)) for p, x in phrases.items()]), lambda x: x.isNotNull())
-    n_words = F.when(F.col("row") == "", F.lit(0)).otherwise(F.length("row") - F.length(F.replace("row", F.lit(" "), F.lit(""))) + 1)
-    return [n_words.cast("long").alias("n_words"), F.size(at).cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base")]
+def _found(phrases: Mapping[str, str]) -> list[Column]:
+    """Of the columns all and p0, p1 ... (places of each phrase): n_words, n_base, first_word, last_word, base (labels in order)."""
+    words = F.col("all")
+    lead = (F.get(words, F.lit(0)) == "").cast("int")
+    tail = ((F.size(words) > 1) & (F.element_at(words, -1) == "")).cast("int")
+    at = F.flatten(F.array(*[F.col(f"p{i}") for i in range(len(phrases))]))
+    labels = F.filter(F.array(*[F.when(F.size(f"p{i}") > 0, F.lit(x)) for i, x in enumerate(phrases.values())]), lambda x: x.isNotNull())
+    return [(F.size(words) - lead - tail).cast("long").alias("n_words"), F.size(at).cast("long").alias("n_base"), (F.array_min(at) - lead).cast("long").alias("first_word"), (F.array_max(at) - lead).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base")]
