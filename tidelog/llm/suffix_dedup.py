@@ -6,14 +6,15 @@ bytes with one of an earlier document. So it is sorted only as far as that:
 1. Sample: suffixes at positions p with p mod v in a difference cover of v. For any
    two suffixes some shift d < v puts both on sampled positions, so if they share
    ``length`` bytes, two sampled suffixes share length - v + 1. These tuples get
-   64-bit names; names are dealt by their high bits and sorted, and neighbours
-   compared. A name that one document alone has ends there: its suffix is decided.
-2. Recurse on names: sampled suffixes with a name that several documents have are
-   named anew by the tuple of ``length`` bytes or more behind them, and sorted again.
-3. Merge: the suffixes in front of such a sample (up to v - 1 of them, the ones that
-   the cover reaches from it) join the sort by their first ``length`` bytes.
-   Neighbours with equal prefixes are compared, and the smallest document of a run
-   of equal prefixes is what the others are held against.
+   names; names are dealt by their high bits and sorted, and neighbours compared. A
+   name that one document alone has ends there: its suffix is decided.
+2. Recurse on names: sampled suffixes whose name several documents have are named
+   anew by length + v - 1 bytes, sorted and compared again. Where an earlier document
+   shares so many, it shares ``length`` bytes of the v suffixes from there on, too:
+   these are decided (and any later document that shares them finds the earlier one).
+3. Merge: all other suffixes that reach a sample with a shared name by a shift below v
+   join the sort by their first ``length`` bytes. Neighbours with equal prefixes are
+   compared; a suffix whose prefix an earlier document has is what was asked for.
 
 Texts are worked on in chunks, the rows of a table that is bucketed by chunk, so that
 it is never shuffled. A chunk sends each hash range one packed array of sorted names
@@ -41,6 +42,8 @@ COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11,
 CHUNK = 4_000_000
 #: Bytes of text for each bucket, which a task sorts in memory; there are MIN_BUCKETS to MAX_BUCKETS.
 BUCKET, MIN_BUCKETS, MAX_BUCKETS = 8_000_000, 16, 1 << 16
+#: Bits of the names that decide; those of the sample, which only discards, follow the size of the input.
+NAME_BITS = 62
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(57721566))
 _LETTER = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -88,36 +91,50 @@ class Chunk:
         at = np.flatnonzero(inside[self.left % v] & (self.left >= width))
         return (at, _window_hashes(self.raw, width)[at]) if len(at) else (at, np.zeros(0, np.uint64))
 
-    def near(self, sample: np.ndarray, length: int, v: int) -> np.ndarray:
-        """Positions with at least ``length`` bytes left that reach one of the sampled positions by a shift below v."""
+    def near(self, sample: np.ndarray, v: int) -> np.ndarray:
+        """Whether a position reaches one of the sampled ones by a shift below v."""
         n = len(self.raw)
         step = np.bincount(np.maximum(sample - v + 1, 0), minlength=n + 1) - np.bincount(sample + 1, minlength=n + 1)
-        return np.flatnonzero((np.cumsum(step[:n]) > 0) & (self.left >= length))
+        return np.cumsum(step[:n]) > 0
+
+    def ahead(self, known: np.ndarray, v: int) -> np.ndarray:
+        """Whether a position is one of the known ones or less than v behind it."""
+        n = len(self.raw)
+        step = np.bincount(known, minlength=n + 1)[: n + 1] - np.bincount(known + v, minlength=n + 1)[: n + 1]
+        return np.cumsum(step[:n]) > 0
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """Unsigned 64-bit numbers by planes of bytes, as many as the largest needs, compressed: the high planes are nearly constant."""
+    import zstandard
+
+    wide = np.ascontiguousarray(numbers, np.uint64).view(np.uint8).reshape(-1, 8)
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    return bytes([width]) + len(numbers).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide[:, :width].T).tobytes())
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    import zstandard
+
+    width, n = data[0], int.from_bytes(data[1:5], "little")
+    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[5:], max_output_size=max(1, width * n)), np.uint8)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = body.reshape(width, n).T
+    return wide.reshape(-1).view(np.uint64)
 
 
 def _pack(names: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as differences of as few bytes as they need: 8 bytes for the first, one for the width."""
-    if not len(names):
-        return b""
-    gaps = np.diff(names)
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return bytes([width]) + names[:1].tobytes() + np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Sorted numbers as the first and the gaps."""
+    return names[:1].tobytes() + _planes(np.diff(names))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    if not data:
-        return np.zeros(0, np.uint64)
-    width = data[0]
-    body = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    wide = np.zeros((len(body) + 1, 8), np.uint8)
-    wide[0] = np.frombuffer(data, np.uint8, 8, 1)
-    wide[1:, :width] = body
-    return np.cumsum(wide.reshape(-1).view(np.uint64), dtype=np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), _from_planes(data[8:])]), dtype=np.uint64)
 
 
-def _send(key: int, names: np.ndarray, least: np.ndarray | None, several: np.ndarray | None, buckets: int) -> Iterator[tuple]:
+def _send(key: int, names: np.ndarray, least: np.ndarray | None, several: np.ndarray | None, buckets: int, bits: int) -> Iterator[tuple]:
     """One row per bucket: the names, and for each whether several documents have it, or its smallest document."""
-    shift = np.uint64(64 - buckets.bit_length() + 1)
+    shift = np.uint64(bits - buckets.bit_length() + 1)
     cut = np.searchsorted(names >> shift, np.arange(buckets + 1).astype(np.uint64))
     for b, i, j in zip(range(buckets), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         if i < j:
@@ -125,33 +142,32 @@ def _send(key: int, names: np.ndarray, least: np.ndarray | None, several: np.nda
 
 
 def _documents(least: np.ndarray) -> bytes:
-    """Document ids as a table of distinct ids and short numbers into it."""
+    """Document ids as a table of distinct ids and numbers into it."""
     table, at = np.unique(least, return_inverse=True)
-    kind = np.uint16 if len(table) <= 1 << 16 else np.uint32
-    return np.array([len(table)], np.int64).tobytes() + table.astype(np.int64).tobytes() + at.astype(kind).tobytes()
+    return len(table).to_bytes(4, "little") + table.astype(np.int64).tobytes() + _planes(at.astype(np.uint64))
 
 
 def _document_ids(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, np.int64, 1)[0])
-    table = np.frombuffer(data, np.int64, n, 8)
-    return table[np.frombuffer(data, np.uint16 if n <= 1 << 16 else np.uint32, offset=8 + 8 * n)]
+    n = int.from_bytes(data[:4], "little")
+    return np.frombuffer(data, np.int64, n, 4)[_from_planes(data[4 + 8 * n :]).astype(np.int64)]
 
 
 def _first_sort(chunk: Chunk, length: int, v: int, bits: int) -> tuple[np.ndarray, ...]:
     """Sampled positions, the number of each one's name among the distinct names, these in order, and which several documents have."""
     at, names = chunk.sampled(length, v)
-    order, nth, first = _ranked(names >> np.uint64(64 - bits) << np.uint64(64 - bits))
+    names = names >> np.uint64(64 - bits)
+    order, nth, first = _ranked(names)
     least, most = _ends(chunk.ids[chunk.doc[at]][order], first)
-    return at, nth, (names[order[first]] >> np.uint64(64 - bits) << np.uint64(64 - bits)), least != most
+    return at, nth, names[order[first]], least != most
 
 
-def _second_sort(chunk: Chunk, near: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For suffixes near a shared sample: the number of each one's prefix among the distinct prefixes, these in order, and their smallest documents."""
-    if not len(near):
-        return near, np.zeros(0, np.uint64), near
-    names = _window_hashes(chunk.raw, length)[near] & np.uint64(2**64 - 4)
+def _sort(chunk: Chunk, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For suffixes: the number of each one's prefix among the distinct prefixes, the names of these in order, and their smallest documents."""
+    if not len(at):
+        return at, np.zeros(0, np.uint64), at
+    names = _window_hashes(chunk.raw, width)[at] >> np.uint64(64 - NAME_BITS)
     order, nth, first = _ranked(names)
-    least, _ = _ends(chunk.ids[chunk.doc[near]][order], first)
+    least, _ = _ends(chunk.ids[chunk.doc[at]][order], first)
     return nth, names[order[first]], least
 
 
@@ -169,6 +185,11 @@ def _ends(docs: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.minimum.reduceat(docs, first), np.maximum.reduceat(docs, first)) if len(first) else (docs, docs)
 
 
+def _earlier(chunk: Chunk, at: np.ndarray, nth: np.ndarray, least: np.ndarray, elsewhere: np.ndarray) -> np.ndarray:
+    """Which suffixes have their prefix in an earlier document, in another chunk or in this one."""
+    return elsewhere[nth] | (chunk.ids[chunk.doc[at]] > least[nth]) if len(at) else np.zeros(0, bool)
+
+
 def _bits(parts: list[dict] | None, n: int) -> np.ndarray:
     """The answers of all buckets, in order of bucket, as booleans for n names."""
     if n == 0:
@@ -254,13 +275,13 @@ def _compare(second: bool):
     return run
 
 
-def _answers(sent: DataFrame, second: bool) -> DataFrame:
+def _answers(sent: DataFrame, name: str) -> DataFrame:
     """One row per chunk with the answers of all its buckets."""
-    out = sent.groupBy("bucket").applyInArrow(_compare(second), _ANSWER_SCHEMA)
-    return out.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias("second" if second else "first"))
+    out = sent.groupBy("bucket").applyInArrow(_compare(name != "first"), _ANSWER_SCHEMA)
+    return out.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name))
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", v: int = 31, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text: str = "text", v: int = 13, texts: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts, also kept (the rest as a string).
 
     Removed is every byte that is covered by a string of ``length`` bytes (of the
@@ -278,7 +299,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 1 << (total // BUCKET).bit_length()))
-    bits = min(64, total.bit_length() + 10)
+    bits = min(64, max(24, total.bit_length() + 8))
     name = f"tidelog_chunks_{uuid.uuid4().hex}"
     parts = max(12, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     chunks = rows.where("id is not null").mapInArrow(_write_chunks, "chunk long, ids binary, sizes binary, body binary")
@@ -287,35 +308,50 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
 
     def sample(row: dict) -> Iterator[tuple]:
         _, _, names, several = _first_sort(_read_chunk(row), length, v, bits)
-        return _send(row["chunk"], names, None, several, buckets)
-
-    first, first_at = save_at(_answers(table.mapInArrow(_by_row(sample, *_SENT), _SENT_SCHEMA), False), "sample")
+        return _send(row["chunk"], names, None, several, buckets, bits)
 
-    def near(row: dict) -> tuple[Chunk, np.ndarray]:
+    def shared(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray]:
+        """The chunk, sampled suffixes with a shared name, and those of them that are long enough to be named anew."""
         chunk = _read_chunk(row)
         at, nth, names, _ = _first_sort(chunk, length, v, bits)
-        shared = _bits(row["first"], len(names))
-        return chunk, chunk.near(at[shared[nth]], length, v)
+        at = at[_bits(row["first"], len(names))[nth]]
+        return chunk, at, at[chunk.left[at] >= length + v - 1]
+
+    def recurse(row: dict) -> Iterator[tuple]:
+        chunk, _, long = shared(row)
+        _, names, least = _sort(chunk, long, length + v - 1)
+        return _send(row["chunk"], names, least, None, buckets, NAME_BITS)
+
+    def remaining(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray]:
+        """The chunk, the suffixes that an earlier document is known to share, and those that are still to be compared."""
+        chunk, at, long = shared(row)
+        nth, names, least = _sort(chunk, long, length + v - 1)
+        known = long[_earlier(chunk, long, nth, least, _bits(row["longer"], len(names)))]
+        decided = chunk.ahead(known, v)
+        return chunk, np.flatnonzero(decided), np.flatnonzero(chunk.near(at, v) & ~decided & (chunk.left >= length))
 
     def merge(row: dict) -> Iterator[tuple]:
-        chunk, at = near(row)
-        _, names, least = _second_sort(chunk, at, length)
-        return _send(row["chunk"], names, least, None, buckets)
-
-    second, second_at = save_at(_answers(table.join(first, "chunk").mapInArrow(_by_row(merge, *_SENT), _SENT_SCHEMA), True), "merged")
+        chunk, _, at = remaining(row)
+        _, names, least = _sort(chunk, at, length)
+        return _send(row["chunk"], names, least, None, buckets, NAME_BITS)
 
     def finish(row: dict) -> Iterator[tuple]:
-        chunk, at = near(row)
-        nth, names, least = _second_sort(chunk, at, length)
-        gone = _bits(row["second"], len(names))[nth] | (chunk.ids[chunk.doc[at]] > least[nth]) if len(at) else np.zeros(0, bool)
-        return _cut(chunk, at[gone], length, texts)
+        chunk, decided, at = remaining(row)
+        nth, names, least = _sort(chunk, at, length)
+        gone = at[_earlier(chunk, at, nth, least, _bits(row["merged"], len(names)))]
+        return _cut(chunk, np.concatenate([decided, gone]), length, texts)
+
+    paths = []
+    for step, name_of in ((sample, "first"), (recurse, "longer"), (merge, "merged")):
+        answers, path = save_at(_answers(table.mapInArrow(_by_row(step, *_SENT), _SENT_SCHEMA), name_of), name_of)
+        table = table.join(answers, "chunk", "left")
+        paths.append(path)
 
     done = _DONE if not texts else ([*_DONE[0], "kept"], [*_DONE[1], pa.string()])
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts
-    cut = table.join(first, "chunk", "left").join(second, "chunk", "left").mapInArrow(_by_row(finish, *done), schema)
-    cut, _ = save_at(cut, "cut")
+    cut, _ = save_at(table.mapInArrow(_by_row(finish, *done), schema), "cut")
     spark.sql(f"DROP TABLE {name}")
-    for path in (first_at, second_at):
+    for path in paths:
         drop_table(spark, path)
     body = F.coalesce(F.col("text"), F.lit(""))
     others = rows.where("id is null").select("id", F.octet_length(body).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(body, 256).alias("kept_sha256"), *([body.alias("kept")] if texts else []))
