@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat_format, license_scan, ngram_join, sentencepiece_codec, sharding, suffix_dedup, url_filter
+from . import audio, chat_format, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter
 
 #: The rules of the contract of op7.
 URL_RULES = [
@@ -47,6 +47,22 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that the classifier is never fitted on."""
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    out = quality.score_texts(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
 
@@ -81,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_ngram_join": op1_ngram_join,
         "op2_sharding": op2_sharding,
         "op3_media": op3_media,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op5_decontaminate": op5_decontaminate,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_chat_format": op8_chat_format,
