@@ -66,14 +66,15 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: f
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null")
     items = benchmark.select(F.col(item).alias("item"), _tokens(F.col(item_text)).alias("raw")).where("item is not null").withColumn("words", _template("raw"))
     slots = lambda c: F.size(F.filter(c, lambda w: F.startswith(w, F.lit("<"))))
-    index = items.select("item", "words", F.posexplode(_windows("words", width)).alias("place", "hash"))
+    index = items.select("item", "words", F.posexplode_outer(_windows("words", width)).alias("place", "hash"))
     index = index.withColumn("part", F.slice("words", F.col("place") + 1, width)).where(2 * slots(F.col("part")) <= F.size("part"))
     index = save(index.select("item", "place", "hash", (slots(F.col("part")) > 0).alias("slotted")), "windows")
     of_item = index.groupBy("item").agg(F.countDistinct("hash").alias("n_windows"))
     small = index.count() <= BROADCAST_WINDOWS
 
     made = own.select("id", _tokens(F.col("t")).alias("raw")).select("id", _template("raw").alias("words")).select("id", _windows("words", width).alias("all"))
-    each = made.select("id", F.posexplode("all").alias("at", "hash"))
+    # The outer form: for the other, Catalyst adds a filter that works out the whole array once more.
+    each = made.select("id", F.posexplode_outer("all").alias("at", "hash"))
     hits = each.join(F.broadcast(index) if small else index.hint("shuffle_hash"), "hash")
     # A document's repeated windows count once; what is kept is one place of each.
     hits = save(hits.groupBy("id", "item", "hash", "slotted").agg(F.min("place").alias("place"), F.min("at").alias("at")), "hits")
@@ -89,7 +90,7 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: f
     both = where.join(texts, "id").join(items.select("item", "raw", "words"), "item")
     bare = lambda x: F.rtrim(x, F.lit(".,!?"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(F.startswith(F.get("words", F.col("place") + k), F.lit("<")), F.struct(F.get("words", F.col("place") + k).alias("kind"), bare(F.get("raw", F.col("place") + k)).alias("asked"), bare(F.get("doc_raw", F.col("at") + k)).alias("found"))))
-    values = both.select("id", "item", F.explode(F.filter(filled, lambda x: x.isNotNull())).alias("s")).select("id", "item", "s.*").distinct()
+    values = both.select("id", "item", F.explode_outer(F.filter(filled, lambda x: x.isNotNull())).alias("s")).select("id", "item", "s.*").distinct()
     steady = values.groupBy("id", "item", "kind", "asked").count().groupBy("id", "item").agg(F.max("count").alias("most"))
     out = pairs.join(steady, ["id", "item"], "left").withColumn("consistent", F.coalesce(F.col("most") == 1, F.lit(True)))
     out = out.where(F.col("consistent") | (F.col("n_plain") >= share * F.col("n_windows")))

@@ -80,7 +80,7 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), split_words(F.col(text)).alias("all"))
 
     # How many documents hold each word of a template; at most one row per such word comes back.
-    held = rows.select(F.explode(F.array_intersect("all", strings(vocabulary))).alias("word"))
+    held = rows.select(F.explode_outer(F.array_intersect("all", strings(vocabulary))).alias("word")).where("word is not null")
     count = {r["word"]: r["count"] for r in held.groupBy("word").count().collect()}
     order = sorted(vocabulary, key=lambda w: (count.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
