@@ -247,6 +247,7 @@ def _by_row(make, names: list[str], types: list[pa.DataType]):
 
 _SENT = (["bucket", "chunk", "names", "more"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 _SENT_SCHEMA, _ANSWER_SCHEMA = "bucket int, chunk long, names binary, more binary", "chunk long, bucket int, n int, bits binary"
+_PLACES = (["chunk", "at"], [pa.int64(), pa.binary()])
 _DONE = (["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()])
 
 
@@ -310,11 +311,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
         _, _, names, several = _first_sort(_read_chunk(row), length, v, bits)
         return _send(row["chunk"], names, None, several, buckets, bits)
 
+    def select(row: dict) -> Iterator[tuple]:
+        at, nth, names, _ = _first_sort(_read_chunk(row), length, v, bits)
+        at = at[_bits(row["first"], len(names))[nth]]
+        yield row["chunk"], _planes(np.diff(at, prepend=0).astype(np.uint64))
+
     def shared(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray]:
         """The chunk, sampled suffixes with a shared name, and those of them that are long enough to be named anew."""
         chunk = _read_chunk(row)
-        at, nth, names, _ = _first_sort(chunk, length, v, bits)
-        at = at[_bits(row["first"], len(names))[nth]]
+        at = np.cumsum(_from_planes(row["at"]).astype(np.int64))
         return chunk, at, at[chunk.left[at] >= length + v - 1]
 
     def recurse(row: dict) -> Iterator[tuple]:
@@ -344,8 +349,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     paths = []
     for step, name_of in ((sample, "first"), (recurse, "longer"), (merge, "merged")):
         answers, path = save_at(_answers(table.mapInArrow(_by_row(step, *_SENT), _SENT_SCHEMA), name_of), name_of)
-        table = table.join(answers, "chunk", "left")
         paths.append(path)
+        if step is sample:  # the places of shared names are written once, so that later passes needn't sort the whole sample again
+            places = table.join(answers, "chunk", "left").mapInArrow(_by_row(select, *_PLACES), "chunk long, at binary")
+            answers, path = save_at(places, "places")
+            paths.append(path)
+        table = table.join(answers, "chunk", "left")
 
     done = _DONE if not texts else ([*_DONE[0], "kept"], [*_DONE[1], pa.string()])
     schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts
