@@ -82,5 +82,5 @@ class LogTable:
         return number
 
     def delete_segments(self, expired: DataFrame) -> None:
-        """Marks segments as deleted; reads leave them out. drop_deleted() frees their space."""
+        """Marks segments as deleted; reads leave them out from then on."""
         expired.select(*SEGMENT).write.mode("append").parquet(f"{self.path}/deleted")

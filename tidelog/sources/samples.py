@@ -54,7 +54,7 @@ def event_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = line_log(spark, sf_dir)
-    return log.select(F.concat(F.lit("g"), F.col("l_suppkey") % 5).alias("group"), "topic", "partition", (F.col("l_orderkey") % 15_000).alias("offset"), F.col("offset").alias("commit_seq"))
+    return log.select(F.concat(F.lit("g"), F.col("l_suppkey") % 5).alias("group"), "topic", "partition", (F.col("l_orderkey") % (11_000 + 1000 * (F.col("l_suppkey") % 5))).alias("offset"), F.col("offset").alias("commit_seq"))
 
 
 def user_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
