@@ -49,9 +49,9 @@ def encode_key_value(key: Column, value: Column) -> Column:
 
 def decode_key_value(data: Column) -> Column:
     """STRUCT<key, value> of such a payload; value is null for a tombstone, the struct's fields are null if it is cut short."""
-    k = number_at(data, 0, 4).cast("int")
-    v = number_at(data, k + 4, 4).cast("int")
-    fits = F.octet_length(data) >= k + v + 8
+    k = number_at(data, 0, 4).try_cast("int")
+    v = number_at(data, k + 4, 4).try_cast("int")
+    fits = F.octet_length(data).cast("long") >= k.cast("long") + v + 8
     return F.struct(
         F.when(fits, F.substring(data, F.lit(5), k)).alias("key"),
         F.when(fits & (v > 0), F.substring(data, k + 9, v)).alias("value"),

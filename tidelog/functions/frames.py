@@ -57,7 +57,7 @@ def _walk(frame: Column, start: Column, count: Column) -> Column:
     first = F.struct(start.alias("at"), F.array().cast("array<binary>").alias("out"))
 
     def step(s: Column, _: Column) -> Column:
-        n = number_at(frame, s["at"], 4).cast("int")
+        n = number_at(frame, s["at"], 4).try_cast("int")
         whole = s["at"] + 4 + n <= F.octet_length(frame)
         item = F.substring(frame, s["at"] + 5, n)
         return F.struct(F.when(whole, s["at"] + 4 + n).alias("at"), F.when(whole, F.array_append(s["out"], item)).alias("out"))
@@ -74,11 +74,11 @@ def decode_requests(frames: DataFrame, frame: str = "frame") -> DataFrame:
     """
     f = F.col(frame)
     names = F.create_map(*[F.lit(x) for name, tag in TAGS.items() for x in (tag, name)])
-    verb = F.element_at(names, number_at(f, 0, 1).cast("int"))
+    verb = F.element_at(names, number_at(f, 0, 1).try_cast("int"))
     has_group, has_topic = verb.isin("fetch", "commit", "committed"), ~verb.isin("list_topics", "metrics", "ping")
-    group_size = F.when(has_group, number_at(f, 1, 2).cast("int"))
+    group_size = F.when(has_group, number_at(f, 1, 2).try_cast("int"))
     topic_at = F.when(has_group, group_size + 3).otherwise(F.when(has_topic, F.lit(1)))
-    topic_size = number_at(f, topic_at, 2).cast("int")
+    topic_size = number_at(f, topic_at, 2).try_cast("int")
     rest = topic_at + 2 + topic_size
     bytes_of = lambda at, n: F.when(F.octet_length(f) >= at + n, F.substring(f, at + 1, n))
     out = frames.select(
@@ -90,7 +90,7 @@ def decode_requests(frames: DataFrame, frame: str = "frame") -> DataFrame:
         F.when(verb.isin("fetch", "commit"), signed_range(number_at(f, rest + 4, 8))).alias("offset"),
         F.when(verb == "fetch", signed_range(number_at(f, rest + 12, 4))).alias("max_bytes"),
         F.when(verb == "create_topic", signed_range(number_at(f, rest, 4))).alias("partition_count"),
-        F.when(verb == "produce", _walk(f, rest + 8, number_at(f, rest + 4, 4).cast("int"))).alias("records"),
+        F.when(verb == "produce", _walk(f, rest + 8, number_at(f, rest + 4, 4).try_cast("int"))).alias("records"),
     )
     need = {"produce": "records", "fetch": "max_bytes", "commit": "offset", "committed": "partition", "create_topic": "partition_count", "describe_topic": "topic", "describe_partition": "partition"}
     short = F.lit(False)
@@ -148,12 +148,12 @@ def encode_partition_response(topic: Column, partition: Column, high_watermark:
 def decode_responses(frames: DataFrame, frame: str = "frame") -> DataFrame:
     """Adds kind, base_offset, record_count, records, next_offset, success, offset, code and message to response bodies; what a kind lacks is null."""
     f = F.col(frame)
-    tag = number_at(f, 0, 1).cast("int")
+    tag = number_at(f, 0, 1).try_cast("int")
     names = F.create_map(*[F.lit(x) for name, t in [*TAGS.items(), ("error", ERROR_TAG)] for x in (t, name)])
     long = lambda at, width: signed_range(number_at(f, at, width))
-    count = number_at(f, 1, 4).cast("int")
+    count = number_at(f, 1, 4).try_cast("int")
     flag = number_at(f, 1, 1)
-    size = number_at(f, 3, 2).cast("int")
+    size = number_at(f, 3, 2).try_cast("int")
     new = {
         "kind": F.element_at(names, tag),
         "base_offset": F.when(tag == 1, long(1, 8)),
