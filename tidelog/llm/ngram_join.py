@@ -32,14 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import by_ids, drop_table, save, save_at
+from .common import BROADCAST_IDS, by_ids, drop_table, save, save_at
 from .components import connected_components
+from .packing import pack, unpack
 from .shingles import batches_of, lists_of, text_sets
 
 #: At most so many shingles are put last in the order: the commonest, 2 MB.
 HOT = 1 << 18
 #: A shingle counts as common if so many documents hold it, by counts within batches from AT_LEAST on.
 COMMON, AT_LEAST = 40, 3
+#: Bits of a shingle's hash in a region's name, and in the sets that are compared (two of 10,000 shingles have a false match once in 2.8 million pairs).
+TOKEN_BITS, SET_BITS = 40, 48
 #: Pivots of a region in the first round; later rounds take MORE times as many.
 PIVOTS, MORE = 3, 6
 
@@ -84,15 +87,16 @@ def _first_shingles(docs: DataFrame, key: str, text: str, k: int, percent: int,
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n int, sig binary, first array<long>")
 
 
-def _sets(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """id and its whole set, as bytes."""
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """Of the documents in a saved list of ids: id and the whole set, packed, by the first SET_BITS bits of its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batches_of(batch, text):
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([s.tobytes() for s in text_sets(part[text].to_pylist(), k)], pa.binary())], names=["id", "held"])
+            for part in batches_of(batch, "text"):
+                held = [pack(s >> np.uint64(64 - SET_BITS)) if len(s) else None for s in text_sets(part["text"].to_pylist(), k)]
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array(held, pa.binary())], names=["id", "held"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, held binary")
+    return by_ids(docs, ids, "id").mapInArrow(run, "id long, held binary").where("held is not null")
 
 
 def _shared_regions(members: DataFrame) -> DataFrame:
@@ -117,23 +121,34 @@ def _shared_regions(members: DataFrame) -> DataFrame:
     return members.repartition("token").sortWithinPartitions("token").mapInArrow(run, members.schema)
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, common, either) for pairs of ids: sizes of the intersection and of the union of their sets."""
+def _overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(a, b, common, either) for saved pairs of ids: sizes of the intersection and of the union of their sets.
+
+    Only documents of some pair are made into sets. A pair's second set moves once;
+    the first, mostly a pivot's, moves once for all its pairs, in a join that Spark
+    can split where a pivot has very many.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             common, either = [], []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            last, held = None, None
+            for a, x, y in zip(batch["a"].to_pylist(), batch["x"], batch["y"], strict=True):
+                if a != last:
+                    last, held = a, unpack(x.as_py())
+                p, q = held, unpack(y.as_py())
                 p, q = (p, q) if len(p) <= len(q) else (q, p)
-                same = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0
+                same = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
                 common.append(same)
                 either.append(len(p) + len(q) - same)
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(common, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "common", "either"])
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("held").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("held").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, either long")
+    firsts, seconds = (save(pairs.select(F.col(c).alias("id")).distinct(), "ids") for c in ("a", "b"))
+    small = pairs.count() <= BROADCAST_IDS // 2
+    second = _sets(docs, seconds, k).select(F.col("id").alias("b"), F.col("held").alias("y"))
+    second = second.join(F.broadcast(pairs) if small else pairs.hint("shuffle_hash"), "b")
+    first = _sets(docs, firsts, k).select(F.col("id").alias("a"), F.col("held").alias("x"))
+    return second.join(first.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, either long")
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,10 +167,11 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str =
     points = save(made.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("point")), "points")
     members = by_ids(made.where("sig is not null"), points.select(F.col("point").alias("id")).distinct(), "id")
     members = members.groupBy("id", "sig").agg(F.first("n").alias("n"), F.first("first").alias("first")) if made.count() != made.select("id").distinct().count() else members
-    members = members.select("id", "n", F.posexplode("first").alias("at", "token")).select("token", "id", "n", "at")
+    members = members.select("id", "n", F.posexplode("first").alias("at", "token"))
+    # Fewer bits for the shuffle: regions that fall together only bring pairs that are then compared.
+    members = members.select(F.shiftrightunsigned("token", 64 - TOKEN_BITS).alias("token"), "id", "n", "at")
     region, region_at = save_at(_shared_regions(members), "regions")
-    ids = save(region.select("id").distinct(), "ids")
-    sets = save(by_ids(docs.select(F.col(key).cast("long").alias("id"), text).where("id is not null"), ids, "id").transform(lambda d: _sets(d, "id", text, k)).dropDuplicates(["id"]), "sets")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
     links, pivots = None, PIVOTS
     while True:
         # Pivots: the smallest ids of a region; all pairs of a member and a pivot that the sizes and places allow.
@@ -163,8 +179,8 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str =
         chosen = chosen.select("token", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"))
         reach = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat")) >= percent * (F.col("n") + F.col("pn"))
         met = region.join(chosen, "token").where(F.col("id") != F.col("pivot"))
-        pairs = met.where(reach).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        known, known_at = save_at(_overlaps(pairs, sets), "distances")
+        pairs = save(met.where(reach).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
+        known, known_at = save_at(_overlaps(pairs, texts, k), "distances")
         linked = known.where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
         links = save(linked if links is None else links.unionByName(linked), "linked")
 
@@ -188,7 +204,6 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str =
         region_at, pivots = new_at, pivots * MORE
         if region.isEmpty():
             break
-    component = connected_components(links)
     classes = points.join(component, F.col("point") == F.col("node"), "left").select("sig", F.coalesce("component", "point").alias("component"))
     out = made.select("id", "n", "sig").join(classes, "sig", "left")
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))

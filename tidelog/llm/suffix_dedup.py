@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, save_at
+from .packing import from_planes, pack, planes, unpack
 from .shingles import mix
 
 #: Perfect difference sets (every shift is the difference of one pair), by modulus.
@@ -104,52 +105,24 @@ class Chunk:
         return np.cumsum(step[:n]) > 0
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """Unsigned 64-bit numbers by planes of bytes, as many as the largest needs, compressed: the high planes are nearly constant."""
-    import zstandard
-
-    wide = np.ascontiguousarray(numbers, np.uint64).view(np.uint8).reshape(-1, 8)
-    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
-    return bytes([width]) + len(numbers).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide[:, :width].T).tobytes())
-
-
-def _from_planes(data: bytes) -> np.ndarray:
-    import zstandard
-
-    width, n = data[0], int.from_bytes(data[1:5], "little")
-    body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[5:], max_output_size=max(1, width * n)), np.uint8)
-    wide = np.zeros((n, 8), np.uint8)
-    wide[:, :width] = body.reshape(width, n).T
-    return wide.reshape(-1).view(np.uint64)
-
-
-def _pack(names: np.ndarray) -> bytes:
-    """Sorted numbers as the first and the gaps."""
-    return names[:1].tobytes() + _planes(np.diff(names))
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), _from_planes(data[8:])]), dtype=np.uint64)
-
-
 def _send(key: int, names: np.ndarray, least: np.ndarray | None, several: np.ndarray | None, buckets: int, bits: int) -> Iterator[tuple]:
     """One row per bucket: the names, and for each whether several documents have it, or its smallest document."""
     shift = np.uint64(bits - buckets.bit_length() + 1)
     cut = np.searchsorted(names >> shift, np.arange(buckets + 1).astype(np.uint64))
     for b, i, j in zip(range(buckets), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         if i < j:
-            yield b, key, _pack(names[i:j]), np.packbits(several[i:j]).tobytes() if least is None else _documents(least[i:j])
+            yield b, key, pack(names[i:j]), np.packbits(several[i:j]).tobytes() if least is None else _documents(least[i:j])
 
 
 def _documents(least: np.ndarray) -> bytes:
     """Document ids as a table of distinct ids and numbers into it."""
     table, at = np.unique(least, return_inverse=True)
-    return len(table).to_bytes(4, "little") + table.astype(np.int64).tobytes() + _planes(at.astype(np.uint64))
+    return len(table).to_bytes(4, "little") + table.astype(np.int64).tobytes() + planes(at.astype(np.uint64))
 
 
 def _document_ids(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
-    return np.frombuffer(data, np.int64, n, 4)[_from_planes(data[4 + 8 * n :]).astype(np.int64)]
+    return np.frombuffer(data, np.int64, n, 4)[fromplanes(data[4 + 8 * n :]).astype(np.int64)]
 
 
 def _first_sort(chunk: Chunk, length: int, v: int, bits: int) -> tuple[np.ndarray, ...]:
@@ -255,7 +228,7 @@ def _compare(second: bool):
     """For applyInArrow on a bucket: puts all chunks' names in order, compares neighbours, and answers each chunk with a bit per name."""
 
     def run(sent: pa.Table) -> pa.Table:
-        names = [_unpack(x) for x in sent["names"].to_pylist()]
+        names = [unpack(x) for x in sent["names"].to_pylist()]
         sizes = [len(x) for x in names]
         more = sent["more"].to_pylist()
         flat = np.concatenate(names)
@@ -314,12 +287,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     def select(row: dict) -> Iterator[tuple]:
         at, nth, names, _ = _first_sort(_read_chunk(row), length, v, bits)
         at = at[_bits(row["first"], len(names))[nth]]
-        yield row["chunk"], _planes(np.diff(at, prepend=0).astype(np.uint64))
+        yield row["chunk"], planes(np.diff(at, prepend=0).astype(np.uint64))
 
     def shared(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray]:
         """The chunk, sampled suffixes with a shared name, and those of them that are long enough to be named anew."""
         chunk = _read_chunk(row)
-        at = np.cumsum(_from_planes(row["at"]).astype(np.int64))
+        at = np.cumsum(fromplanes(row["at"]).astype(np.int64))
         return chunk, at, at[chunk.left[at] >= length + v - 1]
 
     def recurse(row: dict) -> Iterator[tuple]:
