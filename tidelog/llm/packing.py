@@ -14,7 +14,7 @@ def planes(numbers: np.ndarray) -> bytes:
     return bytes([width]) + len(numbers).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(wide[:, :width].T).tobytes())
 
 
-def fromplanes(data: bytes) -> np.ndarray:
+def from_planes(data: bytes) -> np.ndarray:
     import zstandard
 
     width, n = data[0], int.from_bytes(data[1:5], "little")
@@ -30,4 +30,4 @@ def pack(names: np.ndarray) -> bytes:
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), fromplanes(data[8:])]), dtype=np.uint64)
+    return np.cumsum(np.concatenate([np.frombuffer(data, np.uint64, 1), from_planes(data[8:])]), dtype=np.uint64)

@@ -122,7 +122,7 @@ def _documents(least: np.ndarray) -> bytes:
 
 def _document_ids(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:4], "little")
-    return np.frombuffer(data, np.int64, n, 4)[fromplanes(data[4 + 8 * n :]).astype(np.int64)]
+    return np.frombuffer(data, np.int64, n, 4)[from_planes(data[4 + 8 * n :]).astype(np.int64)]
 
 
 def _first_sort(chunk: Chunk, length: int, v: int, bits: int) -> tuple[np.ndarray, ...]:
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     def shared(row: dict) -> tuple[Chunk, np.ndarray, np.ndarray]:
         """The chunk, sampled suffixes with a shared name, and those of them that are long enough to be named anew."""
         chunk = _read_chunk(row)
-        at = np.cumsum(fromplanes(row["at"]).astype(np.int64))
+        at = np.cumsum(from_planes(row["at"]).astype(np.int64))
         return chunk, at, at[chunk.left[at] >= length + v - 1]
 
     def recurse(row: dict) -> Iterator[tuple]:
