@@ -159,3 +159,13 @@ def test_sentencepiece_equals_the_library(spark, parity):
             assert x["decoded"] == own.decode(x["ids"])
 
 
+
+
+def test_ngram_join_finds_links_between_two_pivots_cells(spark):
+    # Sets along a line: documents 1 and 2 are pivots at the ends, 8 and 9 link them; 3 to 5 are in the same region, far from all.
+    words = [f"w{i}" for i in range(400)]
+    span = lambda a, b: " ".join(["q1 q2 q3 q4 q5", *words[a:b]])
+    far = lambda n: " ".join(["q1 q2 q3 q4 q5", *(f"v{n}x{i}" for i in range(100))])
+    rows = [(1, span(0, 100)), (8, span(0, 120)), (9, span(0, 150)), (2, span(0, 190)), *((i, far(i)) for i in (3, 4, 5))]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.similar_documents(docs_of(spark, rows)).collect()}
+    assert got == {1: 1, 8: 1, 9: 1, 2: 1, 3: 3, 4: 4, 5: 5}

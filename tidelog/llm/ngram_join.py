@@ -8,14 +8,15 @@ distance. The join is exact and recursive.
    in a global order (shingles that many documents hold come last). Two points
    within the distance meet in the region of their first common shingle; a point
    in no region with another has no link.
-3. In every region the smallest points are pivots. Each member's distance to them
-   is computed from the whole sets; the nearest pivot is its Voronoi cell. Members
-   within the radius of a pivot (inner) are linked through it, so pairs of them
-   are not compared. Of the others (outer) at least m away from every pivot, the
-   triangle inequality says that only inner members m - radius or more from their
-   pivot can be linked with them: this window of boundary documents goes with the
-   outer members into the next round, with other and more pivots. A region with no
-   outer member, or all of one component, is done.
+3. In every region some members are pivots: first the smallest, later those whose
+   component is rarest there. The others' distances to them are computed from the
+   whole sets, but for pairs that are in one component already; the nearest pivot is
+   a member's Voronoi cell. A member within the radius of its pivot is linked to it.
+   If it has a link to a member of another component, that member is at least m, the
+   least distance of such members, from the pivot, so by the triangle inequality it is
+   itself m - radius or more away: only this window of boundary documents goes with
+   those in no pivot's radius into the next round, with other and more pivots. A
+   region whose other members are all of one component is done.
 
 What a region broadcasts or sends to the driver is nothing; the only broadcast is
 the list of the HOT commonest shingles, of a fixed length, and it changes the
@@ -172,34 +173,37 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str =
     members = members.select(F.shiftrightunsigned("token", 64 - TOKEN_BITS).alias("token"), "id", "n", "at")
     region, region_at = save_at(_shared_regions(members), "regions")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    links, pivots = None, PIVOTS
+    region = region.withColumn("component", F.col("id"))
+    component, pivots, radius = None, PIVOTS, 1 - percent / 100
     while True:
-        # Pivots: the smallest ids of a region; all pairs of a member and a pivot that the sizes and places allow.
-        chosen = region.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("id", "at"))).where(F.col("nth") <= pivots)
-        chosen = chosen.select("token", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"))
+        # Pivots: members of the components that are rarest in their region; all pairs of a member and a pivot of other components that the sizes and places allow.
+        ranked = region.withColumn("often", F.lit(1)) if component is None else region.join(region.groupBy("token", "component").agg(F.count("*").alias("often")), ["token", "component"])
+        chosen = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("often", "id", "at"))).where(F.col("nth") <= pivots)
+        chosen, chosen_at = save_at(chosen.select("token", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("component").alias("pc")), "pivots")
         reach = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat")) >= percent * (F.col("n") + F.col("pn"))
-        met = region.join(chosen, "token").where(F.col("id") != F.col("pivot"))
-        pairs = save(met.where(reach).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
+        met = region.join(chosen, "token").where(F.col("component") != F.col("pc"))
+        pairs, pairs_at = save_at(met.where(reach).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
         known, known_at = save_at(_overlaps(pairs, texts, k), "distances")
         linked = known.where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
-        links = save(linked if links is None else links.unionByName(linked), "linked")
+        component = connected_components(linked if component is None else linked.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
-        # Regions with members that were no pivots go on, if they have outer members of other components.
-        rest = region.join(region.groupBy("token").count().where(F.col("count") > pivots).select("token"), "token", "left_semi")
-        rest = rest.join(chosen.select("token", F.col("pivot").alias("id")), ["token", "id"], "left_anti")
-        component = connected_components(links)
+        # Members that were no pivots go on where they are of several components.
+        rest = region.drop("component").join(chosen.select("token", F.col("pivot").alias("id")), ["token", "id"], "left_anti")
         rest = rest.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         several = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
         rest = rest.join(several, "token", "left_semi")
+        # Distances to all pivots; of pairs that weren't compared it is only known that they need not be taken for linked.
         distance = F.lit(1.0) - F.col("common") / F.col("either")
         near = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), distance.alias("d")).unionByName(known.select(F.col("b").alias("id"), F.col("a").alias("pivot"), distance.alias("d")))
-        radius = 1 - percent / 100
-        cells = rest.join(chosen.select("token", "pivot"), "token").join(near, ["id", "pivot"], "left")
-        cells = cells.groupBy("token", "id", "n", "at").agg(F.min(F.coalesce("d", F.lit(radius + 1e-9))).alias("d"))  # not compared: farther than the radius
-        outer = cells.where(F.col("d") > radius + 1e-12).groupBy("token").agg(F.min("d").alias("m"))
+        home = component.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
+        centres = chosen.select("token", "pivot").join(home, "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
+        cells = rest.join(centres, "token").join(near, ["id", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(radius + 1e-9)))
+        strangers = cells.where("component <> pc").groupBy("token", "pivot").agg(F.min("d").alias("m"))
+        nearest = cells.groupBy("token", "id", "n", "at", "component").agg(F.min(F.struct("d", "pivot")).alias("cell"))
+        nearest = nearest.select("token", "id", "n", "at", "component", "cell.d", "cell.pivot").join(strangers, ["token", "pivot"], "left")
         window = (F.col("d") > radius + 1e-12) | (F.col("d") >= F.col("m") - radius - 1e-9)
-        region, new_at = save_at(cells.join(outer, "token").where(window).select("token", "id", "n", "at"), "regions")
-        for path in (region_at, known_at):
+        region, new_at = save_at(nearest.where(window).select("token", "id", "n", "at", "component"), "regions")
+        for path in (region_at, known_at, chosen_at, pairs_at):
             drop_table(spark, path)
         region_at, pivots = new_at, pivots * MORE
         if region.isEmpty():
