@@ -106,3 +106,16 @@ def test_catalog(spark):
     assert {r["seq"]: r["code"] for r in catalog.check_new_topics(asked, topics).collect()} == {1: None, 2: 11, 3: 11, 4: 12, 5: None}
     assert [r["name"] for r in catalog.list_topics(catalog.create_topics(asked, topics)).collect()] == ["a", "b", "c", "d"]
     assert catalog.topic_partitions(topics).count() == 4
+
+
+def test_every_customer_asks_for_a_topic(spark):
+    sf = "/root/testdata/sf0.01"
+    from tidelog.plans.queries import QUERIES
+
+    taken, want = {f"topic{r['n_nationkey']}" for r in spark.read.parquet(f"{sf}/nation.parquet").collect()}, {}
+    for key in sorted(r["c_custkey"] for r in spark.read.parquet(f"{sf}/customer.parquet").collect()):
+        name = f"topic{key % 90}"
+        want[key] = 12 if key % 5 == 0 else 11 if name in taken else None
+        if want[key] is None:
+            taken.add(name)
+    assert {r["seq"]: r["code"] for r in QUERIES["create_topic_conflicts_all"](spark, sf).collect()} == want

@@ -169,6 +169,9 @@ SQL: dict[str, str] = {
     "partition_checks": """SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 3 > 0 THEN 'NATION_6' ELSE 'ATLANTIS' END AS topic, (s_suppkey % 6)::INT AS "partition", CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 6 >= (SELECT n_nationkey % 4 + 1 FROM nation WHERE n_name = 'NATION_6') THEN 14 END AS code FROM supplier""",
     "create_topic_conflicts": """WITH q AS (SELECT c_custkey AS seq, 'topic' || (c_custkey % 90) AS name, (c_custkey % 5)::INT AS partition_count FROM customer WHERE c_custkey <= 400)
       SELECT *, CASE WHEN partition_count = 0 THEN 12 WHEN name IN (SELECT 'topic' || n_nationkey FROM nation) OR EXISTS (SELECT 1 FROM q b WHERE b.name = q.name AND b.seq < q.seq AND b.partition_count > 0) THEN 11 END AS code FROM q""",
+    "create_topic_conflicts_all": """WITH q AS (SELECT c_custkey AS seq, 'topic' || (c_custkey % 90) AS name, (c_custkey % 5)::INT AS partition_count FROM customer),
+      f AS (SELECT name, min(seq) FILTER (partition_count > 0) AS first FROM q GROUP BY name)
+      SELECT seq, name, partition_count, CASE WHEN partition_count = 0 THEN 12 WHEN name IN (SELECT 'topic' || n_nationkey FROM nation) OR seq > first THEN 11 END AS code FROM q JOIN f USING (name)""",
     "record_encode": f"""WITH {E_LOG} SELECT event_id, lower(printf('%08x', record_size - 12) || printf('%016x', "offset") || hex(encode(payload))) AS record FROM e""",
     "record_decode": f'WITH {E_LOG} SELECT topic, "partition", "offset", payload FROM e',
     "stream_consume": f'WITH {E_LOG} SELECT topic, "partition", "offset", payload FROM e',
