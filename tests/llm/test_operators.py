@@ -114,6 +114,16 @@ def test_decontamination_finds_other_numbers_and_names(spark):
     assert decontaminate.leaked_items(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_finds_copies_of_short_and_slot_heavy_items(spark):
+    items = ["What is 17 plus 25?", "Who wrote War and Peace?", "The Old Man And The Sea Was Written By Ernest Hemingway In Cuba", "12 + 7 = 19, 13 + 8 = 21, 14 + 9 = 23, 15 + 10 = 25", "Photosynthesis"]
+    bench = spark.createDataFrame([(i, x, "x") for i, x in enumerate(items)], "item_id long, text string, id string")
+    docs = [(i, f"Some words stand before it: {x} And some more of them stand behind it.") for i, x in enumerate(items)]
+    docs += [(i + 10, x) for i, x in enumerate(items)]
+    docs += [(20, "1 + 2 = 3, 4 + 5 = 9, 6 + 7 = 13, 8 + 9 = 17"), (21, "We Saw The Big Red House And The Blue Garden Behind The Old Wall"), (22, "Who made soup and bread?"), (23, "war and peace")]
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.leaked_items(docs_of(spark, docs), bench).collect()}
+    assert got == {(d + i, i) for i in range(len(items)) for d in (0, 10)}
+
+
 def test_url_filter(spark):
     urls = ["https://WWW.Example.org/es/a?x=/en/1", "http://example.org/en/12#f", "ftp://shop.com/de/x", "http://com/fr/", "http://notexample.orgs/", "no scheme", None, "x://org", "http://a.b.org/x://y"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")

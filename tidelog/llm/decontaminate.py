@@ -7,6 +7,10 @@ benchmark's items. A document holds an item if it has at least ``share`` of the
 item's windows and the placeholders are filled consistently: wherever the item
 repeats a value, so does the document. That also finds questions with other numbers
 or names. Without consistent slots, the windows without placeholders must do.
+
+Windows with more placeholders than other words say little as templates; they match
+by their words, lower-cased. An item of fewer than ``width`` words is one window of its
+own length.
 """
 
 from __future__ import annotations
@@ -46,41 +50,82 @@ def _template(tokens: str) -> Column:
     return F.transform(tokens, word)
 
 
-def _windows(template: str, width: int) -> Column:
-    """A hash of each window of ``width`` words; of all words if there are fewer."""
-    n = F.size(template)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(F.slice(template, i + 1, width))))
+def _slot(word: Column) -> Column:
+    return F.startswith(word, F.lit("<"))
+
+
+def _low(token: Column) -> Column:
+    return F.lower(F.rtrim(token, F.lit(".,!?")))
+
+
+def _is_heavy(at: Column, width: Column) -> Column:
+    """Whether a window of the column words has more placeholders than other words."""
+    return 2 * F.size(F.filter(F.slice("words", at + 1, width), _slot)) > width
+
+
+def _hash(at: Column, width: Column, by_words: Column) -> Column:
+    """A window's hash: of its words if by_words, else of its template."""
+    said = F.xxhash64(F.lit("words"), F.transform(F.slice("raw", at + 1, width), _low))
+    return F.when(by_words, said).otherwise(F.xxhash64(F.slice("words", at + 1, width)))
+
+
+def _windows(width: int, heavy: bool) -> Column:
+    """The windows of ``width`` words of a document's columns raw and words: at, first, hash; null if it has fewer words.
+
+    Where a placeholder comes first because of what stands before it, the window
+    comes a second time, with first, as if nothing stood there: so an item begins.
+    heavy: some item has a window that matches by its words.
+    """
+    n = F.lit(width)
+    places = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
+    by_words = (lambda i: _is_heavy(i, n)) if heavy else (lambda i: F.lit(False))
+    each = F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(False).alias("first"), _hash(i, n, by_words(i)).alias("hash")))
+    named = F.filter(places, lambda i: F.get("words", i).isin("<name>", "<unit>"))
+    begins = lambda i: F.xxhash64(F.concat(F.array(_low(F.get("raw", i))), F.slice("words", i + 2, F.lit(width - 1))))
+    return F.concat(each, F.transform(named, lambda i: F.struct(i.alias("at"), F.lit(True).alias("first"), begins(i).alias("hash"))))
 
 
 def leaked_items(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: float = 0.5, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and benchmark item that it holds: doc_id, item_id, n_windows, n_matched, n_plain, consistent.
 
-    n_windows counts the item's distinct windows with at least half their words
-    literal, n_matched those that the document has, n_plain those of them without
-    placeholders. Items with no such window can't be found (nor null or empty
-    ones); items shorter than width are found where a whole document is the
-    item. Null, empty and very long texts are allowed; rows that share a doc_id
+    n_windows counts the item's distinct windows, n_matched those that the document
+    has, n_plain those of them without placeholders or matched by their words. The
+    share is asked of all windows or of those that match as templates, so a
+    question with other numbers needn't have the windows that are mostly numbers.
+    An item shorter than width has one window. Null and empty items aren't found.
+    Null, empty and very long texts are allowed; rows that share a doc_id
     count as one document, rows with a null doc_id as none. Items that share an
     item_id count as one. Tables without rows give none.
     """
     own = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null")
     items = benchmark.select(F.col(item).alias("item"), _tokens(F.col(item_text)).alias("raw")).where("item is not null").withColumn("words", _template("raw"))
-    slots = lambda c: F.size(F.filter(c, lambda w: F.startswith(w, F.lit("<"))))
-    index = items.select("item", "words", F.posexplode_outer(_windows("words", width)).alias("place", "hash"))
-    index = index.withColumn("part", F.slice("words", F.col("place") + 1, width)).where(2 * slots(F.col("part")) <= F.size("part"))
-    index = save(index.select("item", "place", "hash", (slots(F.col("part")) > 0).alias("slotted")), "windows")
-    of_item = index.groupBy("item").agg(F.countDistinct("hash").alias("n_windows"))
+    index = items.where("size(words) > 0").withColumn("width", F.least(F.size("words"), F.lit(width)))
+    index = index.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("width"))).alias("place"))
+    index = index.withColumn("heavy", _is_heavy(F.col("place"), F.col("width"))).withColumn("hash", _hash(F.col("place"), F.col("width"), F.col("heavy")))
+    slotted = F.exists(F.slice("words", F.col("place") + 1, F.col("width")), _slot) & ~F.col("heavy")
+    index = save(index.select("item", "place", "width", "hash", "heavy", slotted.alias("slotted")), "windows")
+    of_item = index.select("item", "hash", "heavy").distinct().groupBy("item").agg(F.count("*").alias("n_windows"), F.sum(1 - F.col("heavy").cast("int")).alias("n_templates"))
     small = index.count() <= BROADCAST_WINDOWS
+    # At most width lengths, each with whether some window matches by its words.
+    lengths = {r["width"]: r["heavy"] for r in index.groupBy("width").agg(F.max("heavy").alias("heavy")).collect()} or {width: False}
 
-    made = own.select("id", _tokens(F.col("t")).alias("raw")).select("id", _template("raw").alias("words")).select("id", _windows("words", width).alias("all"))
+    made = own.select("id", _tokens(F.col("t")).alias("raw")).withColumn("words", _template("raw"))
+    made = made.select("id", *[_windows(n, heavy).alias(f"w{n}") for n, heavy in sorted(lengths.items())])
+    none = F.array().cast("array<struct<at int, first boolean, hash bigint>>")
+    made = made.select("id", (F.concat(*[F.coalesce(f"w{n}", none) for n in sorted(lengths)]) if len(lengths) > 1 else F.col(f"w{min(lengths)}")).alias("all"))
     # The outer form: for the other, Catalyst adds a filter that works out the whole array once more.
-    each = made.select("id", F.posexplode_outer("all").alias("at", "hash"))
-    hits = each.join(F.broadcast(index) if small else index.hint("shuffle_hash"), "hash")
+    each = made.select("id", F.explode_outer("all").alias("w")).select("id", "w.*")
+    hits = each.join(F.broadcast(index) if small else index.hint("shuffle_hash"), "hash").where("not first or place = 0")
     # A document's repeated windows count once; what is kept is one place of each.
-    hits = save(hits.groupBy("id", "item", "hash", "slotted").agg(F.min("place").alias("place"), F.min("at").alias("at")), "hits")
-    plain = F.col("slotted").cast("int")
-    pairs = hits.groupBy("id", "item").agg(F.count("*").alias("n_matched"), F.sum(1 - plain).alias("n_plain"), F.sum(plain).alias("n_slotted"))
-    pairs = save(pairs.join(of_item, "item").where(F.col("n_matched") >= share * F.col("n_windows")), "pairs")
+    hits = save(hits.groupBy("id", "item", "hash", "heavy", "slotted").agg(F.min("place").alias("place"), F.min("at").alias("at")), "hits")
+    slots, said = F.col("slotted").cast("int"), F.col("heavy").cast("int")
+    pairs = hits.groupBy("id", "item").agg(F.count("*").alias("n_matched"), F.sum(1 - slots).alias("n_plain"), F.sum(slots).alias("n_slotted"), F.sum(said).alias("n_said"))
+
+    def enough(n: Column) -> Column:
+        """Whether n windows, with those by their words, are the share of all windows or of the templates."""
+        return (n >= share * F.col("n_windows")) | ((F.col("n_templates") > 0) & (n - F.col("n_said") >= share * F.col("n_templates")))
+
+    pairs = save(pairs.join(of_item, "item").where(enough(F.col("n_matched"))), "pairs")
 
     # Values in the slots of the windows that match, for the few documents with any.
     open_pairs = pairs.where("n_slotted > 0").select("id", "item")
@@ -89,11 +134,11 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: f
     where = hits.where("slotted").join(open_pairs, ["id", "item"])
     both = where.join(texts, "id").join(items.select("item", "raw", "words"), "item")
     bare = lambda x: F.rtrim(x, F.lit(".,!?"))
-    filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(F.startswith(F.get("words", F.col("place") + k), F.lit("<")), F.struct(F.get("words", F.col("place") + k).alias("kind"), bare(F.get("raw", F.col("place") + k)).alias("asked"), bare(F.get("doc_raw", F.col("at") + k)).alias("found"))))
+    filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(_slot(F.get("words", F.col("place") + k)), F.struct(F.get("words", F.col("place") + k).alias("kind"), bare(F.get("raw", F.col("place") + k)).alias("asked"), bare(F.get("doc_raw", F.col("at") + k)).alias("found"))))
     values = both.select("id", "item", F.explode_outer(F.filter(filled, lambda x: x.isNotNull())).alias("s")).select("id", "item", "s.*").distinct()
     steady = values.groupBy("id", "item", "kind", "asked").count().groupBy("id", "item").agg(F.max("count").alias("most"))
     out = pairs.join(steady, ["id", "item"], "left").withColumn("consistent", F.coalesce(F.col("most") == 1, F.lit(True)))
-    out = out.where(F.col("consistent") | (F.col("n_plain") >= share * F.col("n_windows")))
+    out = out.where(F.col("consistent") | enough(F.col("n_plain")))
     return out.select(F.col("id").alias(key), F.col("item").alias(item), F.col("n_windows").cast("long"), F.col("n_matched").cast("long"), F.col("n_plain").cast("long"), "consistent")
 
 
