@@ -124,6 +124,16 @@ def test_decontamination_finds_copies_of_short_and_slot_heavy_items(spark):
     assert got == {(d + i, i) for i in range(len(items)) for d in (0, 10)}
 
 
+def test_decontamination_judges_each_alignment(spark):
+    item = "Add 12 to 30 then take 5 off, add 12 to 7 and give 5 back"
+    other = "Add 81 to 44 then take 9 off, add 66 to 3 and give 2 back"
+    near = "Add 81 to 44 then take 9 off"
+    docs = docs_of(spark, [(1, f"{near}. {item}."), (2, f"{near}. {near}. Or so. {item}"), (3, other), (4, near), (4, item), (5, f"{near}. Nothing else is in it.")])
+    bench = spark.createDataFrame([(10, item, "x")], "item_id long, text string, id string")
+    got = {(x["doc_id"], x["consistent"]) for x in decontaminate.leaked_items(docs, bench).collect()}
+    assert got == {(1, True), (2, True), (4, True)}
+
+
 def test_url_filter(spark):
     urls = ["https://WWW.Example.org/es/a?x=/en/1", "http://example.org/en/12#f", "ftp://shop.com/de/x", "http://com/fr/", "http://notexample.orgs/", "no scheme", None, "x://org", "http://a.b.org/x://y"]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")

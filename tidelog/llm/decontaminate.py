@@ -5,7 +5,8 @@ inside a sentence) are typed placeholders, other words are lower-cased. Windows
 ``width`` template words of the documents are hash-joined with those of the
 benchmark's items. A document holds an item if it has at least ``share`` of the
 item's windows and the placeholders are filled consistently: wherever the item
-repeats a value, so does the document. That also finds questions with other numbers
+repeats a value, so does the document, either over the first places of all windows or
+along one alignment of document and item. That also finds questions with other numbers
 or names. Without consistent slots, the windows without placeholders must do.
 
 Windows with more placeholders than other words say little as templates; they match
@@ -94,10 +95,11 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: f
     question with other numbers needn't have the windows that are mostly numbers.
     An item shorter than width has one window. Null and empty items aren't found.
     Null, empty and very long texts are allowed; rows that share a doc_id
-    count as one document, rows with a null doc_id as none. Items that share an
+    count as one document, whose values are read within a row, rows with a null doc_id as none. Items that share an
     item_id count as one. Tables without rows give none.
     """
-    own = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null")
+    # Rows of one doc_id with different texts are told apart by a hash of the text.
+    own = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null").withColumn("row", F.xxhash64("t"))
     items = benchmark.select(F.col(item).alias("item"), _tokens(F.col(item_text)).alias("raw")).where("item is not null").withColumn("words", _template("raw"))
     index = items.where("size(words) > 0").withColumn("width", F.least(F.size("words"), F.lit(width)))
     index = index.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("width"))).alias("place"))
@@ -109,17 +111,19 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: f
     # At most width lengths, each with whether some window matches by its words.
     lengths = {r["width"]: r["heavy"] for r in index.groupBy("width").agg(F.max("heavy").alias("heavy")).collect()} or {width: False}
 
-    made = own.select("id", _tokens(F.col("t")).alias("raw")).withColumn("words", _template("raw"))
-    made = made.select("id", *[_windows(n, heavy).alias(f"w{n}") for n, heavy in sorted(lengths.items())])
+    made = own.select("id", "row", _tokens(F.col("t")).alias("raw")).withColumn("words", _template("raw"))
+    made = made.select("id", "row", *[_windows(n, heavy).alias(f"w{n}") for n, heavy in sorted(lengths.items())])
     none = F.array().cast("array<struct<at int, first boolean, hash bigint>>")
-    made = made.select("id", (F.concat(*[F.coalesce(f"w{n}", none) for n in sorted(lengths)]) if len(lengths) > 1 else F.col(f"w{min(lengths)}")).alias("all"))
+    made = made.select("id", "row", (F.concat(*[F.coalesce(f"w{n}", none) for n in sorted(lengths)]) if len(lengths) > 1 else F.col(f"w{min(lengths)}")).alias("all"))
     # The outer form: for the other, Catalyst adds a filter that works out the whole array once more.
-    each = made.select("id", F.explode_outer("all").alias("w")).select("id", "w.*")
+    each = made.select("id", "row", F.explode_outer("all").alias("w")).select("id", "row", "w.*")
     hits = each.join(F.broadcast(index) if small else index.hint("shuffle_hash"), "hash").where("not first or place = 0")
-    # A document's repeated windows count once; what is kept is one place of each.
-    hits = save(hits.groupBy("id", "item", "hash", "heavy", "slotted").agg(F.min("place").alias("place"), F.min("at").alias("at")), "hits")
+    hits = save(hits.select("id", "row", "item", "hash", "heavy", "slotted", "place", "at"), "hits")
+    # A document's repeated windows count once, at their first place.
+    once = hits.groupBy("id", "item", "hash", "heavy", "slotted").agg(F.min(F.struct("row", "at", "place")).alias("first"))
+    once = save(once.select("id", "item", "hash", "heavy", "slotted", "first.*"), "once")
     slots, said = F.col("slotted").cast("int"), F.col("heavy").cast("int")
-    pairs = hits.groupBy("id", "item").agg(F.count("*").alias("n_matched"), F.sum(1 - slots).alias("n_plain"), F.sum(slots).alias("n_slotted"), F.sum(said).alias("n_said"))
+    pairs = once.groupBy("id", "item").agg(F.count("*").alias("n_matched"), F.sum(1 - slots).alias("n_plain"), F.sum(slots).alias("n_slotted"), F.sum(said).alias("n_said"))
 
     def enough(n: Column) -> Column:
         """Whether n windows, with those by their words, are the share of all windows or of the templates."""
@@ -130,14 +134,25 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, width: int = 6, share: f
     # Values in the slots of the windows that match, for the few documents with any.
     open_pairs = pairs.where("n_slotted > 0").select("id", "item")
     chosen = save(open_pairs.select("id").distinct(), "slotted")
-    texts = by_ids(own, chosen, "id").select("id", _tokens(F.col("t")).alias("doc_raw")).withColumn("doc_words", _template("doc_raw"))
-    where = hits.where("slotted").join(open_pairs, ["id", "item"])
-    both = where.join(texts, "id").join(items.select("item", "raw", "words"), "item")
+    texts = by_ids(own, chosen, "id").select("id", "row", _tokens(F.col("t")).alias("doc_raw")).dropDuplicates(["id", "row"])
     bare = lambda x: F.rtrim(x, F.lit(".,!?"))
     filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.when(_slot(F.get("words", F.col("place") + k)), F.struct(F.get("words", F.col("place") + k).alias("kind"), bare(F.get("raw", F.col("place") + k)).alias("asked"), bare(F.get("doc_raw", F.col("at") + k)).alias("found"))))
-    values = both.select("id", "item", F.explode_outer(F.filter(filled, lambda x: x.isNotNull())).alias("s")).select("id", "item", "s.*").distinct()
-    steady = values.groupBy("id", "item", "kind", "asked").count().groupBy("id", "item").agg(F.max("count").alias("most"))
-    out = pairs.join(steady, ["id", "item"], "left").withColumn("consistent", F.coalesce(F.col("most") == 1, F.lit(True)))
+
+    def steady(found: DataFrame, *by: str) -> DataFrame:
+        """Per document, item and by: the most values that one value of the item has become."""
+        both = found.join(texts, ["id", "row"]).join(items.select("item", "raw", "words"), "item")
+        values = both.select("id", "item", *by, F.explode_outer(F.filter(filled, lambda x: x.isNotNull())).alias("s")).select("id", "item", *by, "s.*").distinct()
+        return values.groupBy("id", "item", *by, "kind", "asked").count().groupBy("id", "item", *by).agg(F.max("count").alias("most"))
+
+    first = steady(once.where("slotted").join(open_pairs, ["id", "item"]))
+    pairs = save(pairs.join(first, ["id", "item"], "left").withColumn("steady", F.coalesce(F.col("most") == 1, F.lit(True))), "judged")
+    # Where first places disagree, each alignment of document and item is judged by itself, with the windows that need no values.
+    left = pairs.where("not steady").select("id", "item", "n_plain", "n_said", "n_windows", "n_templates")
+    along = hits.where("slotted").join(left, ["id", "item"]).withColumn("shift", F.col("at") - F.col("place"))
+    alone = along.groupBy("id", "item", "row", "shift", "n_plain", "n_said", "n_windows", "n_templates").agg(F.countDistinct("hash").alias("n"))
+    alone = save(alone.where(enough(F.col("n") + F.col("n_plain"))).select("id", "item", "row", "shift"), "alone")
+    held = steady(along.join(alone, ["id", "item", "row", "shift"]), "row", "shift").where("most = 1").select("id", "item", F.lit(True).alias("aligned")).distinct()
+    out = pairs.join(held, ["id", "item"], "left").withColumn("consistent", F.col("steady") | F.coalesce("aligned", F.lit(False)))
     out = out.where(F.col("consistent") | enough(F.col("n_plain")))
     return out.select(F.col("id").alias(key), F.col("item").alias(item), F.col("n_windows").cast("long"), F.col("n_matched").cast("long"), F.col("n_plain").cast("long"), "consistent")
 
