@@ -3,20 +3,19 @@
 Documents are points of a metric space: sets of shingles under the Jaccard
 distance. The join is exact and recursive.
 
-1. Equal sets are one point (its smallest doc_id stands for it).
-2. A point belongs to the region of each of its first n - ceil(t n) + 1 shingles
-   in a global order (shingles that many documents hold come last). Two points
-   within the distance meet in the region of their first common shingle; a point
-   in no region with another has no link.
-3. In every region some members are pivots: first the smallest, later those whose
-   component is rarest there. The others' distances to them are computed from the
-   whole sets, but for pairs that are in one component already; the nearest pivot is
-   a member's Voronoi cell. A member within the radius of its pivot is linked to it.
-   If it has a link to a member of another component, that member is at least m, the
-   least distance of such members, from the pivot, so by the triangle inequality it is
-   itself m - radius or more away: only this window of boundary documents goes with
-   those in no pivot's radius into the next round, with other and more pivots. A
-   region whose other members are all of one component is done.
+1. Equal sets are one point.
+2. A point belongs to the region of each of its first n - ceil(t n) + 1 shingles in a
+   global order, rare ones first. Two points within the radius meet in the region of
+   their first common shingle. Regions with the same members are one region.
+3. In every region some members are pivots. A pivot meets all other members but those
+   of its component and those that sizes and places rule out; parities of the shingles'
+   bits bound these distances from below, and only pairs that may lie within the radius
+   are compared by their whole sets. A member within the radius of a pivot is linked to
+   it and leaves the region for the Voronoi cell of its nearest pivot. By the triangle
+   inequality it can only link to members at most its own distance plus the radius from
+   that pivot: the boundary documents in this window that are of other components are
+   replicated to the cell. Cells and what is left of the region are the regions of the
+   next round, with more pivots, until all that meet in a region are of one component.
 
 What a region broadcasts or sends to the driver is nothing; the only broadcast is
 the list of the HOT commonest shingles, of a fixed length, and it changes the
@@ -29,185 +28,273 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, by_ids, drop_table, save, save_at
+from .common import BROADCAST_IDS, by_ids, drop_table, save_at
 from .components import connected_components
 from .packing import pack, unpack
 from .shingles import batches_of, lists_of, text_sets
 
-#: At most so many shingles are put last in the order: the commonest, 2 MB.
-HOT = 1 << 18
-#: A shingle counts as common if so many documents hold it, by counts within batches from AT_LEAST on.
-COMMON, AT_LEAST = 40, 3
-#: Bits of a shingle's hash in a region's name, and in the sets that are compared (two of 10,000 shingles have a false match once in 2.8 million pairs).
-TOKEN_BITS, SET_BITS = 40, 48
+#: At most so many shingles are put last in the order: the commonest, 6 MB.
+HOT = 1 << 19
+#: A shingle counts as common if so many documents hold it, by counts from AT_LEAST on within slices of SLICE shingles (24 MB).
+COMMON, AT_LEAST, SLICE = 8, 2, 3_000_000
 #: Pivots of a region in the first round; later rounds take MORE times as many.
-PIVOTS, MORE = 3, 6
+PIVOTS, MORE = 2, 4
 
 
-def _common_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """Hashes of the commonest shingles, in order of hash; every text is counted."""
+def _common_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the commonest shingles, in order of hash, and the place of each by its count; every text is counted."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        flat = np.concatenate(sets)
+        sets.clear()
+        flat.sort()
+        more = flat[1:][flat[1:] == flat[:-1]]  # a shingle once less than it occurs
+        found, count = np.unique(more, return_counts=True)
+        often = count + 1 >= AT_LEAST
+        return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often] + 1)], names=["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            for part in batches_of(batch, text, 24_000_000):
-                sets = list(text_sets(part[text].to_pylist(), k))
-                found, count = np.unique(np.concatenate(sets), return_counts=True)
-                often = count >= AT_LEAST
-                yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often])], names=["token", "n"])
+            for part in batches_of(batch, text):
+                for s in text_sets(part[text].to_pylist(), k):
+                    sets.append(s)
+                    size += len(s)
+                    if size >= SLICE:
+                        yield counted(sets)
+                        size = 0
+        if sets:
+            yield counted(sets)
 
     counts = docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(HOT).select("token")
-    return np.sort(top.toPandas()["token"].to_numpy(np.int64).view(np.uint64))
+    top = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(HOT).toPandas()
+    token = top["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.lexsort((token, top["n"].to_numpy())).argsort().astype(np.int32)[order]
 
 
-def _first_shingles(docs: DataFrame, key: str, text: str, k: int, percent: int, common: np.ndarray) -> DataFrame:
+def _first_shingles(docs: DataFrame, key: str, text: str, k: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """id, n (shingles of the set), sig (128 bits of the set; null if empty), first (its first shingles in the order)."""
     hot = docs.sparkSession.sparkContext.broadcast(common)
 
     def order(s: np.ndarray) -> np.ndarray:
         n = len(s)
         most = n - -(-percent * n // 100) + 1
-        if len(hot.value) and n:
-            last = hot.value[np.minimum(np.searchsorted(hot.value, s), len(hot.value) - 1)] == s
-            s = np.concatenate([s[~last], s[last]]) if last.any() else s
+        token, place = hot.value
+        if len(token) and n:
+            at = np.minimum(np.searchsorted(token, s), len(token) - 1)
+            last = token[at] == s
+            s = np.concatenate([s[~last], s[last][np.argsort(place[at[last]])]]) if last.any() else s
         return s[:most] if n else s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             for part in batches_of(batch, text):
                 sets = list(text_sets(part[text].to_pylist(), k))
-                sigs = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(s) for s in sets], pa.int32()), pa.array(sigs, pa.binary()), lists_of([order(s) for s in sets])], names=["id", "n", "sig", "first"])
+                yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(s) for s in sets], pa.int32()), pa.array([_sig(s) for s in sets], pa.binary()), lists_of([order(s) for s in sets])], names=["id", "n", "sig", "first"])
 
     return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n int, sig binary, first array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """Of the documents in a saved list of ids: id and the whole set, packed, by the first SET_BITS bits of its hashes."""
+def _sig(s: np.ndarray) -> bytes | None:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batches_of(batch, "text"):
-                held = [pack(s >> np.uint64(64 - SET_BITS)) if len(s) else None for s in text_sets(part["text"].to_pylist(), k)]
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(held, pa.binary())], names=["id", "held"])
 
-    return by_ids(docs, ids, "id").mapInArrow(run, "id long, held binary").where("held is not null")
+def _parities(s: np.ndarray) -> bytes:
+    """A bit for each class of hashes by their low bits, at least two classes a shingle: whether the set has an odd number of the class."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def _shared_regions(members: DataFrame) -> DataFrame:
-    """Drops regions with one member; members of a region are dealt to one task but never gathered in memory."""
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    while len(bits) > size:
+        bits = bits[: len(bits) // 2] ^ bits[len(bits) // 2 :]
+    return bits
+
+
+def _sets(wanted: DataFrame, text: str, k: int) -> DataFrame:
+    """node, held (the whole set, packed) and bits (its parities) of rows (node, sig, text) whose text has that set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last row, if its region had no other yet
-        last = None
         for batch in batches:
-            if not len(batch):
-                continue
-            token = batch["token"].to_numpy(zero_copy_only=False)
-            same = np.concatenate(([False], token[1:] == token[:-1]))
-            joined = last is not None and token[0] == last
-            if joined and held is not None:
-                yield held
-            same[0] = joined
-            keep = same | np.concatenate((same[1:], [False]))
-            held, last = (None if keep[-1] else batch.slice(len(batch) - 1)), token[-1]
-            yield batch.filter(pa.array(keep))
-
-    return members.repartition("token").sortWithinPartitions("token").mapInArrow(run, members.schema)
-
-
-def _overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(a, b, common, either) for saved pairs of ids: sizes of the intersection and of the union of their sets.
-
-    Only documents of some pair are made into sets. A pair's second set moves once;
-    the first, mostly a pivot's, moves once for all its pairs, in a join that Spark
-    can split where a pivot has very many.
+            for part in batches_of(batch, text):
+                rows = [(i, pack(s), _parities(s)) for i, sig, s in zip(part["node"].to_pylist(), part["sig"].to_pylist(), text_sets(part[text].to_pylist(), k), strict=True) if _sig(s) == sig]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["node", "held", "bits"])
+
+    return wanted.select("node", "sig", text).mapInArrow(run, "node long, held binary, bits binary")
+
+
+def _least_distance(x: bytes, y: bytes, sizes: int) -> float:
+    """A lower bound of the distance, by parities: the sets differ at least in as many shingles as their parities do."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(p), len(q))
+    differ = int(np.bitwise_count(_folded(p, size) ^ _folded(q, size)).sum())
+    return 2 * differ / (sizes + differ)
+
+
+def _common(x: bytes, y: bytes) -> int:
+    p, q = unpack(x), unpack(y)
+    p, q = (p, q) if len(p) <= len(q) else (q, p)
+    return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, column: str, whole: bool) -> DataFrame:
+    """Saved pairs (a, b, sizes) with common, the shingles of both sets if whole, else with least, a lower bound of the distance.
+
+    A pair's second set moves once; the first, mostly a pivot's, moves once for
+    all its pairs, in a join that Spark can split where a pivot has very many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, either = [], []
-            last, held = None, None
-            for a, x, y in zip(batch["a"].to_pylist(), batch["x"], batch["y"], strict=True):
-                if a != last:
-                    last, held = a, unpack(x.as_py())
-                p, q = held, unpack(y.as_py())
-                p, q = (p, q) if len(p) <= len(q) else (q, p)
-                same = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                common.append(same)
-                either.append(len(p) + len(q) - same)
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(common, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "common", "either"])
-
-    firsts, seconds = (save(pairs.select(F.col(c).alias("id")).distinct(), "ids") for c in ("a", "b"))
-    small = pairs.count() <= BROADCAST_IDS // 2
-    second = _sets(docs, seconds, k).select(F.col("id").alias("b"), F.col("held").alias("y"))
-    second = second.join(F.broadcast(pairs) if small else pairs.hint("shuffle_hash"), "b")
-    first = _sets(docs, firsts, k).select(F.col("id").alias("a"), F.col("held").alias("x"))
-    return second.join(first.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, common long, either long")
+            each = zip(batch["x"].to_pylist(), batch["y"].to_pylist(), batch["sizes"].to_pylist(), strict=True)
+            out = pa.array([_common(x, y) if whole else _least_distance(x, y, n) for x, y, n in each], pa.int64() if whole else pa.float64())
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["sizes"], out], names=["a", "b", "sizes", "common" if whole else "least"])
+
+    small = pairs.count() <= BROADCAST_IDS // 4
+    second = sets.select(F.col("node").alias("b"), F.col(column).alias("y")).join(F.broadcast(pairs) if small else pairs.hint("merge"), "b")
+    first = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    return second.join(first.hint("merge"), "a").select("a", "b", "sizes", "x", "y").mapInArrow(run, "a long, b long, sizes long, " + ("common long" if whole else "least double"))
+
+
+def _regions(points: DataFrame) -> DataFrame:
+    """token, node, n, at, own: the members of the regions with more than one member."""
+    members = points.select("node", "n", F.posexplode("first").alias("at", "token"), F.lit(True).alias("own"))
+    return by_ids(members, _distinct(members.groupBy("token").agg(*_same()).where("m > 1")), "token", "inner")
+
+
+def _same() -> list[Column]:
+    """What regions with the same members have in common, and their least place in the order."""
+    name = F.xxhash64("node", "own")
+    return [F.count("*").alias("m"), F.sum(name.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned(name, 32)).alias("high"), F.min("node").alias("one"), F.min("at").alias("least_at")]
+
+
+def _distinct(regions: DataFrame) -> DataFrame:
+    """Of regions with the same members the one whose shingle is first in the order: there its members' pairs have their first common shingle."""
+    first = regions.groupBy("m", "low", "high", "one").agg(F.min(F.struct("least_at", "token")).alias("r"))
+    return save_at(first.select("r.token"), "tokens")[0]
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Two documents link when the Jaccard similarity of their sets of k-word
-    shingles is at least percent/100 (percent from 1 to 100; integers, so ties
+    shingles is at least percent/100 (percent from 50 to 100; integers, so ties
     are exact). component_id is the smallest doc_id that links lead to. A text
     with fewer than k words is one shingle; null texts and texts without words
     have none and link with nothing. Rows with the same doc_id are nodes of the
     same name; rows with a null doc_id keep null as component_id and join no
     group. Tables without rows give none. Only the two named columns are read.
     """
-    spark = docs.sparkSession
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must lie between 50 and 100")
     made, made_at = save_at(_first_shingles(docs, key, text, k, percent, _common_shingles(docs, text, k)), "first")
-    points = save(made.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("point")), "points")
-    members = by_ids(made.where("sig is not null"), points.select(F.col("point").alias("id")).distinct(), "id")
-    members = members.groupBy("id", "sig").agg(F.first("n").alias("n"), F.first("first").alias("first")) if made.count() != made.select("id").distinct().count() else members
-    members = members.select("id", "n", F.posexplode("first").alias("at", "token"))
-    # Fewer bits for the shuffle: regions that fall together only bring pairs that are then compared.
-    members = members.select(F.shiftrightunsigned("token", 64 - TOKEN_BITS).alias("token"), "id", "n", "at")
-    region, region_at = save_at(_shared_regions(members), "regions")
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
-    region = region.withColumn("component", F.col("id"))
-    component, pivots, radius = None, PIVOTS, 1 - percent / 100
-    while True:
-        # Pivots: members of the components that are rarest in their region; all pairs of a member and a pivot of other components that the sizes and places allow.
-        ranked = region.withColumn("often", F.lit(1)) if component is None else region.join(region.groupBy("token", "component").agg(F.count("*").alias("often")), ["token", "component"])
-        chosen = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("often", "id", "at"))).where(F.col("nth") <= pivots)
-        chosen, chosen_at = save_at(chosen.select("token", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("component").alias("pc")), "pivots")
-        reach = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat")) >= percent * (F.col("n") + F.col("pn"))
-        met = region.join(chosen, "token").where(F.col("component") != F.col("pc"))
-        pairs, pairs_at = save_at(met.where(reach).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "pairs")
-        known, known_at = save_at(_overlaps(pairs, texts, k), "distances")
-        linked = known.where(F.col("common") * 100 >= F.col("either") * percent).select("a", "b")
-        component = connected_components(linked if component is None else linked.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
-        # Members that were no pivots go on where they are of several components.
-        rest = region.drop("component").join(chosen.select("token", F.col("pivot").alias("id")), ["token", "id"], "left_anti")
-        rest = rest.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = rest.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-        rest = rest.join(several, "token", "left_semi")
-        # Distances to all pivots; of pairs that weren't compared it is only known that they need not be taken for linked.
-        distance = F.lit(1.0) - F.col("common") / F.col("either")
-        near = known.select(F.col("a").alias("id"), F.col("b").alias("pivot"), distance.alias("d")).unionByName(known.select(F.col("b").alias("id"), F.col("a").alias("pivot"), distance.alias("d")))
-        home = component.select(F.col("node").alias("pivot"), F.col("component").alias("pc"))
-        centres = chosen.select("token", "pivot").join(home, "pivot", "left").withColumn("pc", F.coalesce("pc", "pivot"))
-        cells = rest.join(centres, "token").join(near, ["id", "pivot"], "left").withColumn("d", F.coalesce("d", F.lit(radius + 1e-9)))
-        strangers = cells.where("component <> pc").groupBy("token", "pivot").agg(F.min("d").alias("m"))
-        nearest = cells.groupBy("token", "id", "n", "at", "component").agg(F.min(F.struct("d", "pivot")).alias("cell"))
-        nearest = nearest.select("token", "id", "n", "at", "component", "cell.d", "cell.pivot").join(strangers, ["token", "pivot"], "left")
-        window = (F.col("d") > radius + 1e-12) | (F.col("d") >= F.col("m") - radius - 1e-9)
-        region, new_at = save_at(nearest.where(window).select("token", "id", "n", "at", "component"), "regions")
-        for path in (region_at, known_at, chosen_at, pairs_at):
-            drop_table(spark, path)
-        region_at, pivots = new_at, pivots * MORE
-        if region.isEmpty():
-            break
-    classes = points.join(component, F.col("point") == F.col("node"), "left").select("sig", F.coalesce("component", "point").alias("component"))
-    out = made.select("id", "n", "sig").join(classes, "sig", "left")
-    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    named = made.where("sig is not null and id is not null")
+    points, points_at = save_at(named.groupBy("sig").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "points")
+    repeated = named.count() != named.select("id").distinct().count()
+    small = points.count() <= BROADCAST_IDS // 2
+    one = named.join(F.broadcast(points) if small else points.hint("shuffle_hash"), ["id", "sig"])
+    region, region_at = save_at(_regions(one.dropDuplicates(["sig"]) if repeated else one), "regions")
+    inside, inside_at = save_at(region.select("node").distinct().join(points, "node"), "inside")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    wanted = texts.join(F.broadcast(inside) if inside.count() <= BROADCAST_IDS // 2 else inside.hint("shuffle_hash"), "id")
+    held = _sets(wanted, "text", k)
+    sets, sets_at = save_at(held.dropDuplicates(["node"]) if repeated else held, "sets")
+
+    component = None
+    if repeated:  # Rows with the same doc_id are one node.
+        several = named.join(points.select("sig", "node"), "sig").select("id", "node").distinct()
+        component = connected_components(several.join(several.groupBy("id").agg(F.min("node").alias("low")), "id"), "node", "low")
+    region = _with_component(region, component)
+    pivots = PIVOTS
+    while not region.isEmpty():
+        component, rest = _round(region, sets, component, pivots, percent)
+        drop_table(docs.sparkSession, region_at)
+        region, region_at = rest
+        pivots *= MORE
+    classes = points.select("sig", "node", "id") if component is None else points.join(component, "node", "left").select("sig", F.coalesce("component", "node").alias("node"), "id")
+    lowest = classes.groupBy("node").agg(F.min("id").alias("component_id"))
+    out, _ = save_at(made.select("id", "n", "sig").join(classes.select("sig", "node").join(lowest, "node").drop("node"), "sig", "left"), "classes")
+    for path in (made_at, points_at, inside_at, sets_at, region_at):
+        drop_table(docs.sparkSession, path)
+    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+
+
+def _with_component(region: DataFrame, component: DataFrame | None) -> DataFrame:
+    return region.withColumn("component", F.col("node")) if component is None else region.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _unsettled(region: DataFrame) -> DataFrame:
+    """Regions in which an own member may meet one of another component."""
+    open_ones = region.groupBy("token").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max("own").alias("any"), *_same())
+    return by_ids(region, _distinct(open_ones.where("lowest <> highest and any")), "token")
+
+
+def _round(region: DataFrame, sets: DataFrame, component: DataFrame | None, pivots: int, percent: int) -> tuple[DataFrame, tuple[DataFrame, str]]:
+    """Components after one round, and the regions of the next (saved, with the path).
+
+    region: token, node, n, at, own (not a boundary document that was replicated), component.
+    """
+    spark, radius = region.sparkSession, 1 - percent / 100
+    # Pivots are own members, those whose component is rarest in the region first.
+    often = region.groupBy("token", "component").agg(F.count("*").alias("often"))
+    ranked = region.where("own").join(often, ["token", "component"])
+    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("often", "node"))).where(F.col("nth") <= pivots)
+    chosen, chosen_at = save_at(ranked.select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("component").alias("pc")), "pivots")
+
+    # Members meet the pivots of other components that they may link to, by sizes and by places in the order.
+    link = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat")) >= percent * (F.col("n") + F.col("pn"))
+    met = region.join(chosen, "token").where(F.col("component") != F.col("pc")).where(link)
+    met, met_at = save_at(met.select("token", "node", "own", "n", "at", "pivot", "pn", *_pair("node", "pivot")), "met")
+    bounds, bounds_at = _bounds(met, sets)
+    close, close_at = save_at(bounds.where(F.col("least") <= radius + 1e-9).select("a", "b", "sizes"), "close")
+    known, known_at = save_at(_compared(close, sets, "held", whole=True), "distances")
+    either = F.col("sizes") - F.col("common")
+    known = known.where(F.col("common") * 100 >= either * percent)
+    linked = known.select("a", "b")
+    component = connected_components(linked if component is None else linked.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+    # An own member in some pivot's radius leaves for the cell of the nearest; pivots have met all.
+    within = met.where("own").join(known.select("a", "b", (1 - F.col("common") / either).alias("d")), ["a", "b"])
+    cells = within.groupBy("token", "node", "n", "at").agg(F.min(F.struct("d", "pivot", "pn")).alias("cell"))
+    cells, cells_at = save_at(cells.select("token", "node", "n", "at", "cell.*"), "cells")
+    region = _with_component(region.drop("component"), component)
+    gone = chosen.select("token", F.col("pivot").alias("node")).unionByName(cells.select("token", "node"))
+    parts = region.drop("component").join(gone, ["token", "node"], "left_anti")
+
+    # Windows: boundary documents of other components that a member of the cell may link to, and the members that they may link to.
+    paths = [chosen_at, met_at, bounds_at, close_at, known_at, cells_at]
+    if not cells.isEmpty():
+        centres = cells.groupBy("token", "pivot", "pn").agg((F.max("d") + radius + 1e-9).alias("most"))
+        centres = _with_component(centres.withColumnRenamed("pivot", "node"), component).select("token", F.col("node").alias("pivot"), "pn", "most", F.col("component").alias("pc"))
+        near = region.join(centres, "token").where(F.col("component") != F.col("pc")).where(F.least("n", "pn") >= (1 - F.col("most")) * F.greatest("n", "pn"))
+        near, near_at = save_at(near.select("token", "node", "n", "at", "pivot", "most", *_pair("node", "pivot")), "near")
+        least, least_at = _bounds(near, sets)
+        window, window_at = save_at(near.join(least.drop("sizes"), ["a", "b"]).where(F.col("least") <= F.col("most")), "windows")
+        inner = cells.join(window.groupBy("token", "pivot").agg(F.min("least").alias("from")), ["token", "pivot"]).where(F.col("d") >= F.col("from") - radius - 1e-9)
+        name = F.xxhash64("token", "pivot").alias("token")
+        parts = parts.unionByName(inner.select(name, "node", "n", "at", F.lit(True).alias("own"))).unionByName(window.select(name, "node", "n", "at", F.lit(False).alias("own")))
+        paths += [near_at, least_at, window_at]
+    rest = save_at(_unsettled(_with_component(parts, component)), "regions")
+    for path in paths:
+        drop_table(spark, path)
+    return component, rest
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), (F.col("n") + F.col("pn")).cast("long").alias("sizes")]
+
+
+def _bounds(met: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
+    """Lower bounds of the distances of the distinct pairs of a saved table, saved, with the path."""
+    pairs, pairs_at = save_at(met.select("a", "b", "sizes").distinct(), "pairs")
+    bounds = save_at(_compared(pairs, sets, "bits", whole=False), "bounds")
+    drop_table(met.sparkSession, pairs_at)
+    return bounds
