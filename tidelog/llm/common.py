@@ -8,14 +8,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A saved table of a few numbers a row is broadcast up to so many rows (some 50 MB).
+BROADCAST_ROWS = 500_000
+#: Rows of a few numbers that are worth a task of their own, and tasks that are used at least.
+TASK_ROWS, LEAST_TASKS = 100_000, 12
 #: A list of at most so many 8-byte ids is broadcast (32 MB); a longer one is joined by a shuffle.
 BROADCAST_IDS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, but only in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -31,10 +37,11 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     return save_at(df, tag)[0]
 
 
-def save_at(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """As save(), with the table's path, for drop_table()."""
+def save_at(df: DataFrame, tag: str, rows: int | None = None) -> tuple[DataFrame, str]:
+    """As save(), with the table's path, for drop_table(). Where df comes from so many rows, it is written by as many tasks as these are worth."""
     spark = df.sparkSession
     path = table_path(spark, tag)
+    df = df if rows is None else df.coalesce(max(LEAST_TASKS, rows // TASK_ROWS))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -45,6 +52,11 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small(saved: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A saved table, to be broadcast if its rows are counted and few; a larger one is joined by a shuffle."""
+    return F.broadcast(saved) if saved.count() <= most else saved
+
+
 def by_ids(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Joins docs with a saved list of distinct ids; the list is broadcast only after its size is checked."""
     small = ids.count() <= BROADCAST_IDS

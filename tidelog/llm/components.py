@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, save_at
+from .common import drop_table, save_at, small
 
 
 def _settled(edges: DataFrame) -> bool:
@@ -15,7 +15,7 @@ def _settled(edges: DataFrame) -> bool:
     return ends.where("up > 1 or up = 1 and down = 1").count() == 0
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, rows: int | None = None) -> DataFrame:
     """(node, component) for every node of the links; component is the smallest node that can be reached.
 
     Each star step points a node's neighbours to the least of them, so the links
@@ -23,24 +23,27 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     round is two shuffles of at most as many rows as there are links, with
     partial minima before them; the rounds' tables are in the shared folder, and
     only a count comes to the driver. Links with a null end
-    and links of a node with itself are ignored.
+    and links of a node with itself are ignored. rows: how many links there are, if
+    that is known.
     """
     spark = links.sparkSession
     x, y = F.col(a), F.col(b)
     edges = links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct()
-    edges, path = save_at(edges, "links")
+    edges, path = save_at(edges, "links", rows)
     for _ in range(rounds):
         if _settled(edges):
             break
+        rows = edges.count()
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.unionByName(edges.join(least, "u").where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-        edges, new = save_at(small, "links")
-        drop_table(spark, path)
+        least, least_at = save_at(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least", rows)
+        near = small(least)
+        large = both.where("v > u").join(near, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large, large_at = save_at(large.unionByName(edges.join(near, "u").where("m < u").select("u", F.col("m").alias("v"))).distinct(), "large", rows)
+        low, low_at = save_at(large.groupBy("u").agg(F.min("v").alias("m")), "low", rows)
+        ends = large.join(small(low), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        edges, new = save_at(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links", rows)
+        for old in (path, least_at, large_at, low_at):
+            drop_table(spark, old)
         path = new
     else:
         raise RuntimeError("components did not settle")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, by_ids, drop_table, save_at
+from .common import BROADCAST_IDS, by_ids, drop_table, save_at, small
 from .components import connected_components
 from .packing import pack, unpack
 from .shingles import batches_of, lists_of, text_sets
@@ -42,7 +42,7 @@ HOT = 1 << 19
 #: A shingle counts as common if so many documents hold it, by counts from AT_LEAST on within slices of SLICE shingles (24 MB).
 COMMON, AT_LEAST, SLICE = 8, 2, 3_000_000
 #: Pivots of a region in the first round; later rounds take MORE times as many.
-PIVOTS, MORE = 2, 4
+PIVOTS, MORE = 4, 8
 
 
 def _common_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,9 +158,10 @@ def _compared(pairs: DataFrame, sets: DataFrame, column: str, whole: bool) -> Da
             out = pa.array([_common(x, y) if whole else _least_distance(x, y, n) for x, y, n in each], pa.int64() if whole else pa.float64())
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["sizes"], out], names=["a", "b", "sizes", "common" if whole else "least"])
 
-    small = pairs.count() <= BROADCAST_IDS // 4
-    second = sets.select(F.col("node").alias("b"), F.col(column).alias("y")).join(F.broadcast(pairs) if small else pairs.hint("merge"), "b")
-    first = sets.select(F.col("node").alias("a"), F.col(column).alias("x"))
+    few = pairs.count() <= BROADCAST_IDS // 4
+    second = sets.select(F.col("node").alias("b"), F.col(column).alias("y")).join(F.broadcast(pairs) if few else pairs.hint("merge"), "b")
+    ends, _ = save_at(pairs.select(F.col("a").alias("node")).distinct(), "ends", pairs.count())
+    first = by_ids(sets.select("node", column), ends, "node").select(F.col("node").alias("a"), F.col(column).alias("x"))
     return second.join(first.hint("merge"), "a").select("a", "b", "sizes", "x", "y").mapInArrow(run, "a long, b long, sizes long, " + ("common long" if whole else "least double"))
 
 
@@ -176,10 +177,10 @@ def _same() -> list[Column]:
     return [F.count("*").alias("m"), F.sum(name.bitwiseAND(0xFFFFFFFF)).alias("low"), F.sum(F.shiftrightunsigned(name, 32)).alias("high"), F.min("node").alias("one"), F.min("at").alias("least_at")]
 
 
-def _distinct(regions: DataFrame) -> DataFrame:
+def _distinct(regions: DataFrame, rows: int | None = None) -> DataFrame:
     """Of regions with the same members the one whose shingle is first in the order: there its members' pairs have their first common shingle."""
     first = regions.groupBy("m", "low", "high", "one").agg(F.min(F.struct("least_at", "token")).alias("r"))
-    return save_at(first.select("r.token"), "tokens")[0]
+    return save_at(first.select("r.token"), "tokens", rows)[0]
 
 
 def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,8 +200,8 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str =
     named = made.where("sig is not null and id is not null")
     points, points_at = save_at(named.groupBy("sig").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "points")
     repeated = named.count() != named.select("id").distinct().count()
-    small = points.count() <= BROADCAST_IDS // 2
-    one = named.join(F.broadcast(points) if small else points.hint("shuffle_hash"), ["id", "sig"])
+    few = points.count() <= BROADCAST_IDS // 2
+    one = named.join(F.broadcast(points) if few else points.hint("shuffle_hash"), ["id", "sig"])
     region, region_at = save_at(_regions(one.dropDuplicates(["sig"]) if repeated else one), "regions")
     inside, inside_at = save_at(region.select("node").distinct().join(points, "node"), "inside")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
@@ -231,10 +232,10 @@ def _with_component(region: DataFrame, component: DataFrame | None) -> DataFrame
     return region.withColumn("component", F.col("node")) if component is None else region.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _unsettled(region: DataFrame) -> DataFrame:
+def _unsettled(region: DataFrame, rows: int) -> DataFrame:
     """Regions in which an own member may meet one of another component."""
     open_ones = region.groupBy("token").agg(F.min("component").alias("lowest"), F.max("component").alias("highest"), F.max("own").alias("any"), *_same())
-    return by_ids(region, _distinct(open_ones.where("lowest <> highest and any")), "token")
+    return by_ids(region, _distinct(open_ones.where("lowest <> highest and any"), rows), "token")
 
 
 def _round(region: DataFrame, sets: DataFrame, component: DataFrame | None, pivots: int, percent: int) -> tuple[DataFrame, tuple[DataFrame, str]]:
@@ -242,47 +243,53 @@ def _round(region: DataFrame, sets: DataFrame, component: DataFrame | None, pivo
 
     region: token, node, n, at, own (not a boundary document that was replicated), component.
     """
-    spark, radius = region.sparkSession, 1 - percent / 100
+    spark, radius, rows = region.sparkSession, 1 - percent / 100, region.count()
     # Pivots are own members, those whose component is rarest in the region first.
-    often = region.groupBy("token", "component").agg(F.count("*").alias("often"))
-    ranked = region.where("own").join(often, ["token", "component"])
+    often, often_at = save_at(region.groupBy("token", "component").agg(F.count("*").alias("often")), "often", rows)
+    ranked = region.where("own").join(small(often), ["token", "component"])
     ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("token").orderBy("often", "node"))).where(F.col("nth") <= pivots)
-    chosen, chosen_at = save_at(ranked.select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("component").alias("pc")), "pivots")
+    chosen, chosen_at = save_at(ranked.select("token", F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("component").alias("pc")), "pivots", rows)
 
     # Members meet the pivots of other components that they may link to, by sizes and by places in the order.
     link = (100 + percent) * F.least(F.col("n") - F.col("at"), F.col("pn") - F.col("pat")) >= percent * (F.col("n") + F.col("pn"))
-    met = region.join(chosen, "token").where(F.col("component") != F.col("pc")).where(link)
-    met, met_at = save_at(met.select("token", "node", "own", "n", "at", "pivot", "pn", *_pair("node", "pivot")), "met")
+    centre = small(chosen)
+    met = region.join(centre, "token").where(F.col("component") != F.col("pc")).where(link)
+    met, met_at = save_at(met.select("token", "node", "own", "n", "at", "pivot", "pn", *_pair("node", "pivot")), "met", rows)
     bounds, bounds_at = _bounds(met, sets)
-    close, close_at = save_at(bounds.where(F.col("least") <= radius + 1e-9).select("a", "b", "sizes"), "close")
-    known, known_at = save_at(_compared(close, sets, "held", whole=True), "distances")
+    close, close_at = save_at(bounds.where(F.col("least") <= radius + 1e-9).select("a", "b", "sizes"), "close", bounds.count())
+    known, known_at = save_at(_compared(close, sets, "held", whole=True), "distances", 100 * close.count())
     either = F.col("sizes") - F.col("common")
-    known = known.where(F.col("common") * 100 >= either * percent)
+    known, near_at = save_at(known.where(F.col("common") * 100 >= either * percent), "links")
+    links = known.count()
     linked = known.select("a", "b")
-    component = connected_components(linked if component is None else linked.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    if links:
+        links += 0 if component is None else component.count()
+        component = connected_components(linked if component is None else linked.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b"))), rows=links)
+    of_all = None if component is None else small(component)
 
     # An own member in some pivot's radius leaves for the cell of the nearest; pivots have met all.
-    within = met.where("own").join(known.select("a", "b", (1 - F.col("common") / either).alias("d")), ["a", "b"])
+    within = met.where("own").join(small(known).select("a", "b", (1 - F.col("common") / either).alias("d")), ["a", "b"])
     cells = within.groupBy("token", "node", "n", "at").agg(F.min(F.struct("d", "pivot", "pn")).alias("cell"))
-    cells, cells_at = save_at(cells.select("token", "node", "n", "at", "cell.*"), "cells")
-    region = _with_component(region.drop("component"), component)
-    gone = chosen.select("token", F.col("pivot").alias("node")).unionByName(cells.select("token", "node"))
-    parts = region.drop("component").join(gone, ["token", "node"], "left_anti")
+    cells, cells_at = save_at(cells.select("token", "node", "n", "at", "cell.*"), "cells", met.count())
+    region = _with_component(region.drop("component"), of_all)
+    parts = region.drop("component").join(centre.select("token", F.col("pivot").alias("node")), ["token", "node"], "left_anti").join(small(cells).select("token", "node"), ["token", "node"], "left_anti")
 
     # Windows: boundary documents of other components that a member of the cell may link to, and the members that they may link to.
-    paths = [chosen_at, met_at, bounds_at, close_at, known_at, cells_at]
+    paths = [often_at, chosen_at, met_at, bounds_at, close_at, known_at, near_at, cells_at]
     if not cells.isEmpty():
         centres = cells.groupBy("token", "pivot", "pn").agg((F.max("d") + radius + 1e-9).alias("most"))
-        centres = _with_component(centres.withColumnRenamed("pivot", "node"), component).select("token", F.col("node").alias("pivot"), "pn", "most", F.col("component").alias("pc"))
-        near = region.join(centres, "token").where(F.col("component") != F.col("pc")).where(F.least("n", "pn") >= (1 - F.col("most")) * F.greatest("n", "pn"))
-        near, near_at = save_at(near.select("token", "node", "n", "at", "pivot", "most", *_pair("node", "pivot")), "near")
+        centres = _with_component(centres.withColumnRenamed("pivot", "node"), of_all).select("token", F.col("node").alias("pivot"), "pn", "most", F.col("component").alias("pc"))
+        centres, centres_at = save_at(centres, "centres", rows)
+        near = region.join(small(centres), "token").where(F.col("component") != F.col("pc")).where(F.least("n", "pn") >= (1 - F.col("most")) * F.greatest("n", "pn"))
+        near, nearby_at = save_at(near.select("token", "node", "n", "at", "pivot", "most", *_pair("node", "pivot")), "near", rows)
         least, least_at = _bounds(near, sets)
-        window, window_at = save_at(near.join(least.drop("sizes"), ["a", "b"]).where(F.col("least") <= F.col("most")), "windows")
-        inner = cells.join(window.groupBy("token", "pivot").agg(F.min("least").alias("from")), ["token", "pivot"]).where(F.col("d") >= F.col("from") - radius - 1e-9)
+        window, window_at = save_at(near.join(small(least).drop("sizes"), ["a", "b"]).where(F.col("least") <= F.col("most")), "windows", near.count())
+        starts, starts_at = save_at(window.groupBy("token", "pivot").agg(F.min("least").alias("from")), "starts", window.count())
+        inner = cells.join(small(starts), ["token", "pivot"]).where(F.col("d") >= F.col("from") - radius - 1e-9)
         name = F.xxhash64("token", "pivot").alias("token")
         parts = parts.unionByName(inner.select(name, "node", "n", "at", F.lit(True).alias("own"))).unionByName(window.select(name, "node", "n", "at", F.lit(False).alias("own")))
-        paths += [near_at, least_at, window_at]
-    rest = save_at(_unsettled(_with_component(parts, component)), "regions")
+        paths += [centres_at, nearby_at, least_at, window_at, starts_at]
+    rest = save_at(_unsettled(_with_component(parts, of_all), rows), "regions", rows)
     for path in paths:
         drop_table(spark, path)
     return component, rest
@@ -294,7 +301,7 @@ def _pair(x: str, y: str) -> list[Column]:
 
 def _bounds(met: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
     """Lower bounds of the distances of the distinct pairs of a saved table, saved, with the path."""
-    pairs, pairs_at = save_at(met.select("a", "b", "sizes").distinct(), "pairs")
-    bounds = save_at(_compared(pairs, sets, "bits", whole=False), "bounds")
+    pairs, pairs_at = save_at(met.select("a", "b", "sizes").distinct(), "pairs", met.count())
+    bounds = save_at(_compared(pairs, sets, "bits", whole=False), "bounds", 10 * pairs.count())
     drop_table(met.sparkSession, pairs_at)
     return bounds
