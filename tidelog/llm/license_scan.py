@@ -1,17 +1,19 @@
 """License scans by an exact set-similarity join.
 
-A text block (a sentence or line) carries a license where it holds at least
-``threshold`` of the distinct words of a license template. Words are ordered by
-how many documents hold them, rarest first. A block that meets the threshold for
-a template of n words, of which it must hold a, holds one of the template's first
-n - a + 1 words in that order (the prefix); so only blocks with a prefix word
-meet templates, in an equi-join on that word. The length and positional filters
-drop pairs that can no longer reach a; what is left is counted exactly.
+A text block (a sentence, across single line ends) carries a license where it holds
+at least ``threshold`` of the distinct words of a license template, among them those
+that tell it from its like; of a block's templates the best count. Words are ordered
+by how many documents hold them, rarest first, in templates and blocks. A block that
+meets the threshold for a template of n words, of which it must hold a, holds one of
+the template's first n - a + 1 words in that order (the prefix); so only blocks with a
+prefix word meet templates, in an equi-join on that word. At the first such word the
+block must have a words of the vocabulary left (the length and positional filters);
+what then remains is counted exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -24,20 +26,36 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Short license notices as published, and the label of each.
+#: Sentences of license texts and notices as published, the label of each, and words that a block must have.
 TEMPLATES = {
-    "Licensed under the Apache License, Version 2.0": "apache-2.0",
-    "Released under the MIT License": "mit",
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
-    "This work is licensed under the GNU General Public License, version 3": "gpl-3.0",
-    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
-    "Licensed under CC BY-NC 4.0": "cc-by-nc",
-    "Licensed under CC BY-SA 4.0": "cc-by-sa",
-    "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
-    "This Source Code Form is subject to the terms of the Mozilla Public License": "mpl",
-    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
-    "This is free and unencumbered software released into the public domain": "unlicense",
+    "Licensed under the Apache License, Version 2.0": ("apache-2.0", ("apache",)),
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied": ("apache-2.0", ()),
+    "You may not use this file except in compliance with the License": ("apache-2.0", ("compliance",)),
+    "Released under the MIT License": ("mit", ("mit",)),
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": ("mit", ()),
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:": ("mit", ()),
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software": ("mit", ()),
+    "This work is licensed under the GNU General Public License, version 3": ("gpl-3.0", ("gnu", "3")),
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": ("gpl", ("gnu", "general")),
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE": ("gpl", ("hope",)),
+    "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": ("lgpl", ("lesser",)),
+    "Licensed under CC BY 4.0": ("cc-by", ("cc", "by")),
+    "Licensed under CC BY-NC 4.0": ("cc-by-nc", ("cc", "nc")),
+    "Licensed under CC BY-SA 4.0": ("cc-by-sa", ("cc", "sa")),
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": ("cc-by", ("creative", "attribution")),
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": ("bsd", ("redistribution",)),
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": ("bsd", ("redistributions",)),
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": ("bsd", ("redistributions",)),
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": ("bsd-3-clause", ("endorse",)),
+    "This Source Code Form is subject to the terms of the Mozilla Public License": ("mpl", ("mozilla",)),
+    "If a copy of the MPL was not distributed with this file, You can obtain one at": ("mpl", ("mpl",)),
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": ("isc", ("fee",)),
+    "This is free and unencumbered software released into the public domain": ("unlicense", ("unencumbered",)),
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means": ("unlicense", ()),
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": ("bsl-1.0", ("organization",)),
 }
+#: Templates with at most so many words in all are broadcast (some 50 MB); more are joined by a shuffle.
+BROADCAST_WORDS = 500_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -51,28 +69,28 @@ def split_words(text: Column) -> Column:
 
 
 def text_blocks(text: Column) -> Column:
-    """Sentences and lines: cut at line ends, and at white space after . ! or ?"""
-    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n"), "\n")
+    """Sentences: cut at blank lines, and at white space after . ! or ? A single line end is a space."""
+    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+|\n[ \t\r]*\n", "$1\n\n"), "\n\n")
 
 
 def _plain_words(text: str) -> list[str]:
     return "".join(c if c.isascii() and c.isalnum() or not c.isascii() else " " for c in text.lower()).split()
 
 
-def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, str] = TEMPLATES, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, tuple[str, Sequence[str]]] = TEMPLATES, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
 
     n_base counts all places where a phrase's words stand in a row, first_word
     and last_word are the first and last such place (words from 0; null if there
-    is none). labels has the phrases' labels and those of templates of which some
-    block holds at least ``threshold`` of the distinct words (n_blocks: pairs of
-    a block and a template). score is the largest such share, 1 with any phrase,
-    0 with nothing. Null texts count as empty; repeated rows and null keys keep a
-    row each; an empty table gives an empty result. Phrases and templates are
-    written down by the caller (at most 10,000), so what is broadcast is bounded.
+    is none). labels has the phrases' labels and those of the best templates of
+    each block: those of which it holds the largest share, at least
+    ``threshold``, of the distinct words, and of equal shares the longest
+    (n_blocks: pairs of a block and a best template). score is the largest such
+    share, 1 with any phrase, 0 with nothing. Null texts count as empty; repeated
+    rows and null keys keep a row each; an empty table gives an empty result.
+    Templates are text: (label, words that must be there); they are broadcast
+    only if small.
     """
-    if len(phrases) + len(templates) > 10_000:
-        raise ValueError("at most 10,000 phrases and templates")
     spark = docs.sparkSession
     own = {t: list(dict.fromkeys(_plain_words(t))) for t in templates}
     vocabulary = sorted({w for ws in own.values() for w in ws})
@@ -88,28 +106,32 @@ def scan_licenses(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templat
     table, prefix = [], []
     for name, (t, ws) in enumerate(own.items()):
         need = ceil(round(threshold * len(ws), 9))
+        label, must = templates[t]
         ws = sorted(ws, key=rank.__getitem__)
-        table.append((name, templates[t], ws, need))
-        prefix += [(w, name, at) for at, w in enumerate(ws[: len(ws) - need + 1])]
-    table = spark.createDataFrame(table, "template int, label string, words array<string>, need int")
-    first = spark.createDataFrame(prefix, "word string, template int, at int")
-    starts = sorted({w for w, _, _ in prefix})
-
-    # Blocks of documents with a prefix word, then the equi-join on that word.
+        table.append((name, label, ws, [w.lower() for w in must], need))
+        prefix += [(w, name) for w in ws[: len(ws) - need + 1]]
+    small = sum(map(len, own.values())) <= BROADCAST_WORDS
+    table = spark.createDataFrame(table, "template int, label string, words array<string>, must array<string>, need int")
+    first = spark.createDataFrame(prefix, "word string, template int").join(F.broadcast(table) if small else table, "template")
+    starts = sorted({w for w, _ in prefix})
+
+    # Blocks of documents with a prefix word, as words of the vocabulary in the order, then the equi-join on prefix words.
     some = F.when(F.arrays_overlap("all", strings(starts)), text_blocks(F.col("text")))
-    blocks = F.filter(F.transform(some, lambda b: F.array_remove(F.array_distinct(split_words(b)), "")), lambda b: F.arrays_overlap(b, strings(starts)))
+    blocks = F.filter(F.transform(some, lambda b: F.array_intersect(strings(order), split_words(b))), lambda b: F.arrays_overlap(b, strings(starts)))
     places = [F.when(F.array_contains("all", p.split()[0]), _places(F.col("all"), p.split())).otherwise(F.array().cast("array<int>")).alias(f"p{i}") for i, p in enumerate(phrases)]
     base = rows.select(F.monotonically_increasing_id().alias("n"), "id", "all", blocks.alias("blocks"), *places).select("n", "id", "blocks", *_found(phrases))
     base = base.withColumn("blocks", F.when(F.size("blocks") > 0, F.col("blocks")))
 
     found = base.select("*", F.posexplode_outer("blocks").alias("block", "held")).drop("blocks")
-    found = found.select("*", F.explode_outer(F.array_intersect("held", strings(starts))).alias("word"))
-    found = found.join(F.broadcast(first), "word", "left").join(F.broadcast(table), "template", "left")
-    reach = (F.size("held") >= F.col("need")) & (F.size("words") - F.col("at") >= F.col("need"))
-    share = F.when(reach, F.size(F.array_intersect("held", "words")))
-    hit = F.when(share >= F.col("need"), F.struct("block", "template", "label", (share / F.size("words")).alias("share")))
+    found = found.select("*", F.posexplode_outer("held").alias("at", "word"))
+    found = found.join(F.broadcast(first) if small else first.hint("shuffle_hash"), "word", "left")
+    reach = F.size("held") - F.col("at") >= F.col("need")  # words of the vocabulary from here on; fewer can't reach it if this is the first in common
+    share = F.when(reach & (F.size(F.array_intersect("must", "held")) == F.size("must")), F.size(F.array_intersect("held", "words")))
+    hit = F.when(share >= F.col("need"), F.struct("block", "template", "label", (share / F.size("words")).alias("share"), F.size("words").alias("n")))
     kept = ["n", "id", "n_words", "n_base", "first_word", "last_word", "base"]
     out = found.groupBy(*kept).agg(F.collect_set(hit).alias("hits"))
+    better = lambda x, y: (x["block"] == y["block"]) & ((x["share"] > y["share"]) | ((x["share"] == y["share"]) & (x["n"] > y["n"])))
+    out = out.withColumn("hits", F.filter("hits", lambda y: ~F.exists("hits", lambda x: better(x, y))))
     labels = F.array_sort(F.array_distinct(F.concat("base", F.transform("hits", lambda h: h["label"]))))
     return out.select(
         F.col("id").alias(key), "n_words", "n_base", "first_word", "last_word",

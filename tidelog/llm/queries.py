@@ -40,10 +40,13 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad = F.when((n > 0) & (n % 576 == 0), F.lit(0)).otherwise(576 - n % 576)
     payload = F.concat(body, F.unhex(F.repeat(F.lit("FF"), pad)))
     docs = table(spark, sf_dir, "documents").select("doc_id", n.cast("long").alias("n_bytes"), payload.alias("payload"))
-    read = audio.decode_audio(audio.store_audio(docs, "payload", codec="mulaw", rate=8000), to_rate=16000)
+    # Equal texts have equal codecs: each is as good for any payload of whole ADPCM blocks.
+    codec = F.element_at(F.array(*map(F.lit, ("mulaw", "alaw", "ima_adpcm"))), (F.crc32("payload") % 3 + 1).cast("int"))
+    read = audio.decode_audio(audio.store_audio(docs, "payload", codec=codec, rate=8000, block=36), to_rate=16000)
     return read.select(
         "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"),
         F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        "codec", F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"),
     )
 
 
@@ -80,6 +83,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(line, 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        "order_valid", F.col("order_error").cast("long").alias("order_error"),
     )
 
 
@@ -125,29 +129,38 @@ def _op7_sql() -> str:
 
 def _op8_sql() -> str:
     t = chat_format.Template()
-    pattern, by = rf"([<\[])(\\*)({t.rests})", r"\1\\\2\3"
+    text = "text"
+    for first, rest in t.patterns:
+        text = f"regexp_replace({text}, {_quoted(rf'({first})(\\*)({rest})')}, {_quoted(r'\1\\\2\3')}, 'g')"
+    moves = ", ".join(_quoted(f"{a} {b}") for a, to in t.moves.items() for b in to)
     return f"""
     WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-    s AS (SELECT *, {len(t.begin) + len(t.after_role) + len(t.end)} + length(role) + length(regexp_replace(text, {_quoted(pattern)}, {_quoted(by)}, 'g')) AS n FROM c),
-    a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-      coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS loss, sum(n)::BIGINT AS formatted_chars FROM s GROUP BY conv_id)
-    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM a"""
+    s AS (SELECT *, {len(t.begin) + len(t.after_role) + len(t.end)} + length(role) + length({text}) AS n,
+      row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS k, coalesce(lag(role) OVER w, 'start') AS before
+      FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+    a AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns,
+      coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss, sum(n)::BIGINT AS formatted_chars,
+      least(min(i) FILTER (before || ' ' || role NOT IN ({moves})), max(k) FILTER (i = k - 1 AND role <> 'assistant'))::BIGINT AS order_error FROM s GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, order_error IS NULL AS order_valid, order_error FROM a"""
 
 
 def _op10_sql() -> str:
     phrases = ", ".join(f"({_quoted(p)}, {_quoted(x)}, {len(p.split())})" for p, x in license_scan.PHRASES.items())
-    templates = ", ".join(f"({i}, {_quoted(x)}, [{', '.join(_quoted(w) for w in dict.fromkeys(license_scan._plain_words(t)))}])" for i, (t, x) in enumerate(license_scan.TEMPLATES.items()))
+    listed = lambda ws: "[" + ", ".join(map(_quoted, ws)) + "]::VARCHAR[]"
+    templates = ", ".join(f"({i}, {_quoted(x)}, {listed(dict.fromkeys(license_scan._plain_words(t)))}, {listed(must)})" for i, (t, (x, must)) in enumerate(license_scan.TEMPLATES.items()))
     words = lambda x: rf"trim(regexp_replace(translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'))"
     return rf"""
     WITH phrases(phrase, label, k) AS (VALUES {phrases}),
-    templates(t, label, ws) AS (VALUES {templates}),
+    templates(t, label, ws, must) AS (VALUES {templates}),
     d AS (SELECT doc_id, text, string_split({words("text")}, ' ') AS ws, {words("text")} AS row FROM documents),
     base AS (SELECT doc_id, label, i - 1 AS pos FROM d JOIN phrases ON contains(' ' || row || ' ', ' ' || phrase || ' '), range(1, len(ws) + 1) r(i) WHERE array_to_string(ws[i:i + k - 1], ' ') = phrase),
     b AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_sort(list_distinct(list(label))) AS base FROM base GROUP BY doc_id),
-    blocks AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10))) AS block FROM documents),
-    held AS (SELECT doc_id, list_distinct(string_split({words("block")}, ' ')) AS ws FROM blocks WHERE len(block) > 0),
-    hits AS (SELECT doc_id, label, len(list_intersect(h.ws, t.ws)) / len(t.ws) AS share FROM held h, templates t WHERE len(h.ws) >= 0.8 * len(t.ws) - 1e-9 AND len(list_intersect(h.ws, t.ws)) >= 0.8 * len(t.ws) - 1e-9),
+    blocks AS (SELECT doc_id, row_number() OVER () AS b, block FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])[ \t\r\n]+|\n[ \t\r]*\n', '\1' || chr(10) || chr(10), 'g'), chr(10) || chr(10))) AS block FROM documents)),
+    held AS (SELECT doc_id, b, list_distinct(string_split({words("block")}, ' ')) AS ws FROM blocks WHERE len(block) > 0),
+    every AS (SELECT doc_id, b, label, len(t.ws) AS n, len(list_intersect(h.ws, t.ws)) / len(t.ws) AS share FROM held h, templates t
+      WHERE len(h.ws) >= 0.8 * len(t.ws) - 1e-9 AND len(list_intersect(h.ws, t.ws)) >= 0.8 * len(t.ws) - 1e-9 AND len(list_intersect(t.must, h.ws)) = len(t.must)),
+    hits AS (SELECT doc_id, label, share FROM (SELECT *, rank() OVER (PARTITION BY b ORDER BY share DESC, n DESC) AS k FROM every) WHERE k = 1),
     m AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM hits GROUP BY doc_id)
     SELECT doc_id, CASE WHEN row = '' THEN 0 ELSE len(ws) END::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
       coalesce(array_to_string(base, ','), '') AS base_labels, coalesce(array_to_string(list_sort(list_distinct(list_concat(base, labels))), ','), '') AS labels,

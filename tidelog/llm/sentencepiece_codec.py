@@ -41,6 +41,12 @@ class Model:
     dummy_prefix: bool = True
     remove_extra_spaces: bool = True
     escape_spaces: bool = True
+    unknown_surface: str = " \u2047 "
+
+    @property
+    def atoms(self) -> list[str]:
+        """Pieces that are never split or joined."""
+        return sorted((p for p, _, kind in self.pieces if kind == USER_DEFINED), key=len, reverse=True)
 
     @property
     def unknown(self) -> int:
@@ -49,7 +55,7 @@ class Model:
     @property
     def cuts(self) -> bool:
         """True if no piece has the marker after another character, or a line end (which then is a byte)."""
-        return self.escape_spaces and self.byte_fallback and not any(MARK in p.lstrip(MARK) or "\n" in p for p, _, _ in self.pieces)
+        return self.escape_spaces and self.byte_fallback and not self.atoms and not any(MARK in p.lstrip(MARK) or "\n" in p for p, _, _ in self.pieces)
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -84,6 +90,7 @@ def parse_model(proto: bytes) -> Model:
         elif number == 2:
             spec = dict(_fields(value))
             model.kind, model.byte_fallback = spec.get(3, 1), bool(spec.get(35, 0))
+            model.unknown_surface = spec[44].decode() if 44 in spec else model.unknown_surface
         elif number == 3:
             spec = dict(_fields(value))
             model.charsmap = spec.get(2, b"")
@@ -117,7 +124,16 @@ def build_tokenizer(model: Model):
     if model.escape_spaces:
         steps.append(normalizers.Replace(" ", MARK))
     tokenizer.normalizer = normalizers.Sequence(steps)
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if model.dummy_prefix else [])])
+    tokenizer.decoder = decoders.Sequence([decoders.Replace(model.pieces[model.unknown][0], model.unknown_surface), decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
+    return tokenizer
+
+
+def build_decoder(model: Model):
+    """As build_tokenizer(), with the control pieces as special tokens, which decoding leaves out."""
+    from tokenizers import AddedToken
+
+    tokenizer = build_tokenizer(model)
+    tokenizer.add_special_tokens([AddedToken(p, special=True) for p, _, kind in model.pieces if kind == CONTROL])
     return tokenizer
 
 
@@ -128,15 +144,24 @@ class Codec:
         from tokenizers import normalizers
 
         self.model = parse_model(proto)
+        self.cuts = self.model.cuts
         self.full = build_tokenizer(self.model)
         self.bare = build_tokenizer(self.model)  # for chunks that are normalised already
         self.bare.normalizer = normalizers.Sequence([])
         self.plain = self.model.escape_spaces and not self.model.charsmap and not self.model.remove_extra_spaces
-        self.bytes = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode() for p, _, kind in self.model.pieces]
+        self.back = build_decoder(self.model)
+        atoms = self.model.atoms
+        self.atom = re.compile("(" + "|".join(map(re.escape, atoms)) + ")") if atoms else None
+        self.atom_ids = {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == USER_DEFINED}
+        self.byte = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
+        self.line_end = self.bare.encode("\n", add_special_tokens=False).ids if self.cuts else []
+        self.silent = np.array([kind == CONTROL for _, _, kind in self.model.pieces])
+        self.spaced = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])  # such a first piece stands for the dummy prefix
         self.known: dict[str, bytes] = {}
         self.past: dict[str, bytes] = {}
+        self.said: dict[bytes, str] = {}
         self.odd: set[str] = set()  # chunks on which the libraries differ
-        self.by_chunk = parity == "chunks" and self.model.cuts
+        self.by_chunk = parity == "chunks" and self.cuts
         self.other = None
         if parity != "none":
             import sentencepiece
@@ -152,8 +177,16 @@ class Codec:
         """A text cut before each run of markers and around line ends; no token crosses a cut."""
         return re.findall(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+", self.normalise(text))
 
+    def _between_atoms(self, texts: list[str]) -> list[bytes]:
+        """Texts cut at the pieces that are never split: these have their own ids, what stands between is encoded alone."""
+        cut = [self.atom.split(self.normalise(t)) for t in texts]
+        rest = iter(self.bare.encode_batch([x for parts in cut for x in parts[::2]], add_special_tokens=False))
+        return [np.array([i for k, x in enumerate(parts) for i in ([self.atom_ids[x]] if k % 2 else next(rest).ids)], "<u4").tobytes() for parts in cut]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.model.cuts:
+        if self.atom:
+            return self._between_atoms(texts)
+        if not self.cuts:
             return [np.array(e.ids, "<u4").tobytes() for e in self.full.encode_batch(texts, add_special_tokens=False)]
         chunks = [self.chunks(t) for t in texts]
         if len(self.known) > CACHE_CHUNKS:
@@ -196,14 +229,47 @@ class Codec:
                     self.odd.update(r)
         return [found[c] for c in chunks]
 
-    def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
-        return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        """The texts of lists of ids, by the decoder of the tokenizers library; runs of ids from one marker to the next repeat a lot, so each new one is decoded once."""
+        runs = []
+        for x in ids:
+            x = np.ascontiguousarray(x, "<u4")
+            cut = np.append(np.flatnonzero(self.spaced[x]), len(x)).tolist()
+            raw = x.tobytes()
+            runs.append([raw[4 * i : 4 * j] for i, j in zip([0, *cut[:-1]], cut, strict=True)])
+        if len(self.said) > CACHE_CHUNKS:
+            self.said = {}
+        new = list(set().union(*runs).difference(self.said))
+        self._decode_new(new)
+        out = ["".join(map(self.said.__getitem__, r)) for r in runs]
+        for r in new:
+            if len(r) > 4 * CACHE_CHARS:
+                del self.said[r]
+        if self.model.dummy_prefix:
+            for k, x in enumerate(ids):
+                first = x[np.argmin(self.silent[x])] if len(x) else 0
+                if len(x) and not self.silent[first] and self.spaced[first]:
+                    out[k] = out[k][1:]
+        return out
+
+    def _decode_new(self, runs: list[bytes]) -> None:
+        """Runs that aren't known, many to a list with line ends between where no run has bytes that could meet these."""
+        lists = [np.frombuffer(r, "<u4").tolist() for r in runs]
+        byte = self.byte
+        alone = [k for k, x in enumerate(lists) if not self.cuts or any(map(byte.__contains__, x))]
+        apart = set(alone)
+        self.said.update(zip([runs[k] for k in alone], self.back.decode_batch([lists[k] for k in alone], skip_special_tokens=True), strict=True))
+        together = [k for k in range(len(runs)) if k not in apart]
+        groups = [together[i : i + 500] for i in range(0, len(together), 500)]
+        joined = [[i for k in g for i in (*lists[k], *self.line_end)] for g in groups]
+        for g, said in zip(groups, self.back.decode_batch(joined, skip_special_tokens=True), strict=True):
+            self.said.update(zip([runs[k] for k in g], said.split("\n")[:-1], strict=True))
 
     def agrees(self, texts: list[str], ids: list[bytes]) -> list[bool]:
-        """Whether sentencepiece itself gives the same ids."""
+        """Whether sentencepiece itself gives the same ids; by chunks, whether it normalises the text to the same string and gives each chunk the same ids."""
         if self.by_chunk:
-            return [not self.odd or self.odd.isdisjoint(self.chunks(t)) for t in texts]
+            same = [a == b for a, b in zip(self.other.normalize(texts), map(self.normalise, texts), strict=True)]
+            return [s and (not self.odd or self.odd.isdisjoint(self.chunks(t))) for s, t in zip(same, texts, strict=True)]
         return [np.array(a, "<u4").tobytes() == b for a, b in zip(self.other.encode(texts, num_threads=1), ids, strict=True)]
 
 
@@ -218,9 +284,12 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", parity: s
     """Adds ids (array of int), n_tokens, decoded (the text that the ids give) and parity to docs.
 
     parity is whether the sentencepiece library gives the same ids: with "chunks"
-    for every chunk of the text (each is compared when a worker meets it first),
-    with "texts" for the whole text at once, with "none" it is null. Null texts have null in all four columns,
-    empty ones no ids. Very long texts are encoded whole. Columns of docs that
+    whether it normalises the whole text to the same string and gives the same ids
+    for every chunk of it (each is compared when a worker meets it first; no piece
+    crosses a cut, so the ids of the chunks are those of the text), with "texts" for
+    the whole text at once, with "none" it is null. Control pieces decode to nothing,
+    unknown ones to the model's surface for them. Null texts have null in all four columns,
+    empty ones no ids. Very long texts are encoded whole; an empty table gives an empty result. Columns of docs that
     have one of the new names are replaced; repeated rows stay.
     """
     with open(model_path, "rb") as f:
@@ -247,7 +316,8 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", parity: s
                 if none.any():
                     lists = pa.array([None if n else x for n, x in zip(none, lists.to_pylist(), strict=True)], pa.list_(pa.int32()))
                 sizes = pa.array([None if a is None else len(a) for a, _ in rows], pa.int32())
-                back = pa.array([None if a is None else own.decode(a) for a, _ in rows], pa.string())
+                texts_back = iter(own.decode(arrays))
+                back = pa.array([None if a is None else next(texts_back) for a, _ in rows], pa.string())
                 agree = pa.array([s for _, s in rows], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part[c] for c in rest] + [lists, sizes, back, agree], names=[*rest, *new])
 

@@ -18,7 +18,7 @@ _SPACE[[32, *range(9, 14)]] = True
 _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power(name: str, n: int) -> np.ndarray:
+def power(name: str, n: int) -> np.ndarray:
     """The first n powers of the base, or of its inverse, modulo 2**64."""
     if len(_powers[name]) < n:
         base = np.uint64(_BASE if name == "up" else pow(_BASE, -1, 2**64))
@@ -43,8 +43,8 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(solid[1:] != solid[:-1])
     starts, ends = edge[::2], edge[1::2]
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_LETTER[raw] * _power("up", len(raw)), out=total[1:])
-    hashes = (total[ends] - total[starts]) * _power("down", len(raw) + 1)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    np.cumsum(_LETTER[raw] * power("up", len(raw)), out=total[1:])
+    hashes = (total[ends] - total[starts]) * power("down", len(raw) + 1)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     return starts, mix(hashes)
 
 

@@ -17,8 +17,8 @@ from .common import ascii_lower
 
 #: (action, host, path prefix)
 Rule = tuple[str, str, str]
-#: Rules are a parameter that the caller writes down; more than this many are refused, so the broadcast stays below some 20 MB.
-MAX_RULES = 100_000
+#: At most so many rules are broadcast (some 20 MB); more are joined by a shuffle.
+BROADCAST_RULES = 100_000
 
 
 def url_host(url: Column) -> Column:
@@ -40,7 +40,7 @@ def _short(digest: Column) -> Column:
     return F.substring(digest, 1, 8)
 
 
-def url_verdicts(pages: DataFrame, rules: Sequence[Rule], url: str = "url", key: str = "page_id", default: str = "allow") -> DataFrame:
+def url_verdicts(pages: DataFrame, rules: Sequence[Rule] | DataFrame, url: str = "url", key: str = "page_id", default: str = "allow") -> DataFrame:
     """One row per row of pages: key, host, path, rule, verdict, n_expressions.
 
     A rule fits its host and all subdomains if the path starts with the rule's
@@ -49,21 +49,24 @@ def url_verdicts(pages: DataFrame, rules: Sequence[Rule], url: str = "url", key:
     ``default``. Null URLs and URLs without ``://`` have an empty host and path
     and get the default. Repeated rows and null keys stay, each with its own
     row; an empty table gives an empty result. Only the two named columns are
-    read, so other columns can't clash.
+    read, so other columns can't clash. rules: a list, or a table (action, host,
+    path) of any size; rules with a null count for nothing.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
     spark = pages.sparkSession
-    table = spark.createDataFrame([(a, h, p) for a, h, p in rules], "action string, rule_host string, rule_path string")
+    names = ["action", "rule_host", "rule_path"]
+    table = rules.select(*[F.col(x).alias(y) for x, y in zip(("action", "host", "path"), names, strict=True)]) if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), ", ".join(f"{c} string" for c in names))
+    table = table.dropna().distinct()
+    # Lengths of paths: a few numbers, however many rules there are.
+    found = table.groupBy(F.length("rule_path").alias("n")).count().collect()
+    lengths, small = sorted(r["n"] for r in found), sum(r["count"] for r in found) <= BROADCAST_RULES
     table = table.select("action", F.concat("rule_host", "rule_path").alias("rule"), F.length("rule_host").alias("host_length"), F.sha2(F.concat_ws("\n", "rule_host", "rule_path"), 256).alias("digest")).withColumn("short", _short(F.col("digest")))
-    lengths = sorted({len(p) for _, _, p in rules})
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     paths = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda p: p.isNotNull())
     each = pages.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
     each = each.withColumn("digests", F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.sha2(F.concat_ws("\n", h, p), 256)))))
     each = each.select("row", "id", "host", "path", F.size("digests").alias("n_expressions"), F.explode_outer("digests").alias("full")).withColumn("short", _short(F.col("full")))
-    found = each.join(F.broadcast(table), "short", "left")
+    found = each.join(F.broadcast(table) if small else table.hint("merge"), "short", "left")
     hit = F.when(F.col("full") == F.col("digest"), F.struct(F.length("rule").alias("length"), "host_length", "action", "rule"))
     best = found.groupBy("row", "id", "host", "path", "n_expressions").agg(F.max(hit).alias("best"))
     return best.select(F.col("id").alias(key), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"), "n_expressions")
