@@ -3,7 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as
 Parquet to the shared folder and reads it again for the next one. All but the last
 return the columns of documents. Rows with a null doc_id pass every stage that
-decides by doc_id.
+decides by doc_id; rows with the same doc_id are one document where documents are
+dropped, and each keeps its own text where texts are cut. Null and empty texts are
+scored like any other, have no near duplicates and lose nothing. Tables without rows
+give none; further columns of documents are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,10 +19,18 @@ from tidelog.llm.common import by_ids, save
 from tidelog.llm.queries import SENTENCEPIECE_MODEL, held_out, table
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs doesn't have."""
+    while name in docs.columns:
+        name = f"_{name}"
+    return name
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: learns from the labels that aren't held out; documents that it rejects go."""
     model = quality.learn(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return quality.score_texts(docs, model, score="quality_score").where("quality_score >= 0.5").select(*docs.columns)
+    score = _free(docs, "quality_score")
+    return quality.score_texts(docs, model, score=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +42,15 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: strings of 50 bytes that an earlier document has are cut out of the text; n_chars follows."""
-    kept = suffix_dedup.remove_repeats(docs, length=50, texts=True).where("n_removed > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
-    out = docs.join(kept, "doc_id", "left").withColumn("text", F.coalesce("kept", "text"))
-    return out.withColumn("n_chars", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    counts = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+    row = "doc_id"
+    if counts["n"] != counts["ids"]:  # rows that share a doc_id are told apart by a number that is written down
+        row = _free(docs, "row")
+        docs = save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    kept, cut = _free(docs, "kept"), suffix_dedup.remove_repeats(docs, length=50, texts=True, row=row).where("n_removed > 0")
+    out = docs.join(cut.select(F.col("row").alias(row), F.col("kept").alias(kept)), row, "left").withColumn("text", F.coalesce(kept, "text"))
+    out = out.withColumn("n_chars", F.when(F.col(kept).isNotNull(), F.length(kept).cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[c for c in docs.columns if c == "doc_id" or c != row])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
