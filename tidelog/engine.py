@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import BadPartitionCount, DuplicateTopic, UnknownDescribedPartition, UnknownPartition, UnknownTopic
-from .operators import catalog, fetch, log, metrics, offsets, retention
+from .functions.binary import decode_key_value, record_size
+from .operators import catalog, compaction, fetch, log, metrics, offsets, retention
 from .sources import shared
 from .sources.log_table import LogTable
 
@@ -51,14 +52,19 @@ class LogEngine:
             raise UnknownDescribedPartition(f"{topic}/{partition}")
         return catalog.describe_partitions(known, self.table.segments()).where(F.col("partition") == partition)
 
-    def produce(self, batch: DataFrame, order: list[str], number: int | None = None) -> DataFrame:
-        """Appends a batch (request_id, topic, partition, payload, order's columns): one row per request with base_offset, record_count and code."""
+    def produce(self, batch: DataFrame, order: list[str], number: int | None = None, block: Column | None = None) -> DataFrame:
+        """Appends a batch (request_id, topic, partition, payload, order's columns): one row per request, topic and partition with base_offset, record_count and code.
+
+        block is an expression that follows the order and bounds what one task
+        sorts of a partition's batch, as in assign_offsets().
+        """
         checked = log.split_requests(batch, self.topics(), order)
-        number = self.table.append(checked.where("accepted").select("topic", "partition", "payload", *order), order, int(time.time() * 1000), number=number)
-        stored = self.table.records().where(F.col("batch") == number)
-        acks = log.produce_acks(stored)
-        codes = checked.groupBy("request_id", "topic", "partition").agg(F.max("code").alias("code"))
-        return codes.join(acks, ["topic", "partition"], "left")
+        rows = checked.where("accepted").select("request_id", "topic", "partition", "payload", *[c for c in order if c != "request_id"])
+        number = self.table.append(rows, order, int(time.time() * 1000), block, number)
+        keys = ["request_id", *log.PARTITION]
+        acks = log.produce_acks(self.table.records().where(F.col("batch") == number), keys)
+        codes = checked.groupBy(*keys).agg(F.max("code").alias("code"))
+        return codes.join(acks, keys, "left")
 
     def fetch(self, topic: str, partition: int, offset: int = 0, max_bytes: int = 1 << 20, group: str = "") -> DataFrame:
         """Records from an offset, or from a group's committed position. Unknown topics and partitions are an error, but for a group without a commit."""
@@ -68,7 +74,11 @@ class LogEngine:
         code = catalog.check_partitions(asked, self.topics(), 10).first()
         if code["code"] and code["start"] is not None:
             raise UnknownPartition(f"{topic}/{partition}")
-        return fetch.fetch_records(self.table.records(), asked, segments).drop("request_id").orderBy("offset")
+        if code["start"] is None:
+            return self.table.records(topic, partition).drop("request_id").limit(0)
+        mine = self.table.records(topic, partition, code["start"]).drop("request_id")
+        own = segments.where((F.col("topic") == topic) & (F.col("partition") == partition))
+        return fetch.fetch_records(mine, asked, own).drop("request_id").orderBy("offset")
 
     def commits(self) -> DataFrame:
         return self._rows("commits", COMMITS)
@@ -86,21 +96,54 @@ class LogEngine:
     def lag(self) -> DataFrame:
         return offsets.consumer_lag(self.commits(), self.table.segments())
 
-    def apply_retention(self, config: retention.RetentionConfig, now_ms: int | None = None) -> DataFrame:
-        """Deletes expired segments and returns how many and how many bytes. The high watermark is each partition's next offset."""
+    def _marked(self) -> DataFrame:
+        """Segments with the high watermark of their partition: its next offset."""
+        marks = self.table.next_offsets().select(*log.PARTITION, F.col("next_offset").alias("_mark"))
+        return self.table.segments().join(marks, log.PARTITION)
+
+    def _saved(self, df: DataFrame, tag: str) -> DataFrame:
+        where = shared.shared_path(self.spark, tag)
+        df.write.parquet(where)
+        return self.spark.read.schema(df.schema).parquet(where)
+
+    def apply_retention(self, config: retention.RetentionConfig, now_ms: int | None = None, interval_ms: int = 0) -> DataFrame:
+        """Deletes expired segments and returns how many and how many bytes; nothing within interval_ms of the last run. The high watermark is each partition's next offset."""
         now_ms = int(time.time() * 1000) if now_ms is None else now_ms
-        segments = self.table.segments()
-        marks = log.partition_stats(segments).select("topic", "partition", F.col("next_offset").alias("_mark"))
-        segments = segments.join(marks, ["topic", "partition"])
+        segments = self._marked()
+        last = self._rows("retention_runs", "last_retention_run_ms long").agg(F.max("last_retention_run_ms").alias("last_retention_run_ms"))
+        if retention.with_skip(last, now_ms, interval_ms).first()["skip"]:
+            return retention.retention_summary(segments.limit(0))
         gone = retention.expired_by_time(segments, config.retention_ms, now_ms, F.col("_mark"))
         left = segments.join(gone.select(*log.SEGMENT), log.SEGMENT, "left_anti")
-        gone = gone.unionByName(retention.expired_by_size(left, config.retention_bytes, F.col("_mark"))).drop("_mark")
-        kept = shared.shared_path(self.spark, "expired")
-        gone.write.parquet(kept)
-        gone = self.spark.read.schema(gone.schema).parquet(kept)
-        self.table.delete_segments(gone)
+        gone = self._saved(gone.unionByName(retention.expired_by_size(left, config.retention_bytes, F.col("_mark"))).drop("_mark"), "expired")
+        if not gone.isEmpty():
+            self.table.delete_segments(gone)
+        self.spark.createDataFrame([(now_ms,)], "last_retention_run_ms long").coalesce(1).write.mode("append").parquet(f"{self.path}/retention_runs")
         return retention.retention_summary(gone)
 
+    def compact(self) -> DataFrame:
+        """Compacts eligible sealed segments of keyed payloads into one per partition, and returns the counts of compaction_result().
+
+        Of each key the latest record stays, tombstones among them, with its
+        offset. Records whose payload has no key can't be compacted and stay. The
+        segments are replaced in one commit; only what is sealed and lies above a
+        partition's last compacted offset is taken.
+        """
+        done = self._rows("compactions", "topic string, partition int, last_compacted_offset long").groupBy(*log.PARTITION).agg(F.max("last_compacted_offset").alias("last_compacted_offset"))
+        eligible = self._saved(compaction.eligible_segments(self._marked(), done, F.col("_mark")), "eligible")
+        stored = self.table.records()
+        read = stored.join(eligible.select(*log.SEGMENT), log.SEGMENT, "left_semi").withColumn("_kv", decode_key_value(F.col("payload")))
+        keyed = read.where("_kv.key is not null").select(*log.SEGMENT, "offset", "batch", "ingest_ms", "request_id", "payload", F.col("_kv.key").alias("key"))
+        kept = keyed.groupBy(*log.PARTITION, "key").agg(F.max(F.struct("offset", "batch", "ingest_ms", "request_id", "payload")).alias("r")).select(*log.PARTITION, "r.*")
+        kept = kept.unionByName(read.where("_kv.key is null").select(*log.PARTITION, "offset", "batch", "ingest_ms", "request_id", "payload"))
+        base = kept.groupBy(*log.PARTITION).agg(F.min("offset").alias("segment_base"))
+        rows = kept.join(base, log.PARTITION).select(*log.SEGMENT, "offset", record_size(F.col("payload")).alias("record_size"), "payload", "ingest_ms", "request_id")
+        result = self._saved(compaction.compaction_result(keyed, eligible), "compaction")
+        if not eligible.isEmpty():
+            self.table.replace(eligible, rows, F.lit(None).cast("long"))
+            result.select(*log.PARTITION, F.col("highest_compacted").alias("last_compacted_offset")).write.mode("append").parquet(f"{self.path}/compactions")
+        return result
+
     def metrics_text(self, samples: DataFrame) -> DataFrame:
         """The text export: totals of what is stored, latency samples of the caller, and every group's lag."""
         t = self.table.segments().agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("n"), F.coalesce(F.sum("size_bytes") - 12 * F.sum("record_count"), F.lit(0)).alias("b"))

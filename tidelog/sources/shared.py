@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a temporary folder that is then set."""
+    """A new path below spark.checkpoint.dir; where that is unset, a temporary folder is set, but only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidelog-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidelog/{tag}-{uuid.uuid4().hex}"
@@ -32,6 +34,15 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Moves a folder to a new name, with the folders above it; what is there already stays and is an error."""
+    fs, where = _fs(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    fs.mkdirs(target.getParent())
+    if fs.exists(target) or not fs.rename(where, target):
+        raise FileExistsError(f"{path} can't become {to}")
+
+
 def names(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it isn't there."""
     fs, where = _fs(spark, path)

@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.limits import BYTES, WINDOW_MS, rate_step
-from ..sources.log_table import LOG_SCHEMA
+from ..sources.log_table import LOG_SCHEMA, LogTable
 
 
 def stream_log(spark: SparkSession, path: str, schema: str = LOG_SCHEMA, max_files: int = 100) -> DataFrame:
-    """A log table's records as a stream; a poll takes at most max_files new files."""
+    """A log table's records as a stream of its folder log, where only committed batches are; a poll takes at most max_files new files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "false").parquet(path)
 
 
-def consume(stream: DataFrame, group: str, checkpoint: str, process: Callable[[DataFrame, int], None], commits_path: str | None = None, once: bool = True) -> StreamingQuery:
+def consume(stream: DataFrame, group: str, checkpoint: str, process: Callable[[DataFrame, int], None], commits_path: str | None = None, once: bool = True, table: LogTable | None = None) -> StreamingQuery:
     """Reads a stream for a group: each micro-batch goes to process(batch, batch_id), then the positions are committed.
 
+    With table, records of segments that were deleted in the meantime are left out
+    (their offsets are passed over).
+
     The checkpoint folder is the group's position: a new start goes on behind the
     last batch that was processed. Commits (group, topic, partition, offset,
     commit_seq) are written to a folder named by the batch, so a batch that is run
@@ -28,7 +31,7 @@ def consume(stream: DataFrame, group: str, checkpoint: str, process: Callable[[D
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process(batch, batch_id)
+        process(batch if table is None else table.live(batch), batch_id)
         if commits_path:
             ends = batch.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("offset"))
             ends = ends.select(F.lit(group).alias("group"), "topic", "partition", "offset", F.lit(batch_id).cast("long").alias("commit_seq"))
