@@ -99,6 +99,13 @@ SQL: dict[str, str] = {
     "produce_rejects": """WITH b AS (SELECT doc_id // 10 AS request_id, doc_id AS seq, CASE WHEN doc_id % 70 < 10 THEN 'nowhere' ELSE lang END AS topic, doc_id // 10 % 5 AS p, octet_length(encode(text)) > 10000 AS large FROM documents),
       x AS (SELECT *, topic = 'nowhere' OR p > 3 AS unknown, max(large::INT) OVER (PARTITION BY request_id ORDER BY seq) AS failed FROM b)
       SELECT request_id, count(*) FILTER (NOT unknown AND failed = 0) AS stored, count(*) FILTER (unknown OR failed = 1) AS refused, max(CASE WHEN unknown THEN 10 WHEN failed = 1 THEN 500 END)::INT AS code FROM x GROUP BY request_id""",
+    "engine_produce_acks": """WITH o AS (SELECT doc_id // 10 AS request_id, lang AS topic, (doc_id // 10 % 4)::INT AS p, row_number() OVER (PARTITION BY lang, doc_id // 10 % 4 ORDER BY doc_id) - 1 AS o FROM documents WHERE lang IS NOT NULL)
+      SELECT request_id, topic, p AS "partition", min(o) AS base_offset, count(*) AS record_count, NULL::INT AS code FROM o GROUP BY ALL""",
+    "engine_compacted_log": """WITH o AS (SELECT (doc_id % 3)::INT AS p, concat_ws('/', lang, source) AS key, doc_id::VARCHAR AS value, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) - 1 AS o FROM documents),
+      b AS (SELECT *, o // 64 * 64 AS base, max(o // 64 * 64) OVER (PARTITION BY p) AS top FROM o),
+      k AS (SELECT * FROM b WHERE base < top QUALIFY row_number() OVER (PARTITION BY p, key ORDER BY o DESC) = 1)
+      SELECT 'kept' AS topic, p AS "partition", min(o) OVER (PARTITION BY p) AS segment_base, o AS "offset", key, value FROM k
+      UNION ALL SELECT 'kept', p, base, o, key, value FROM b WHERE base = top""",
     "oversize_rejects": f'WITH {D_LOG} SELECT topic, "partition", "offset", record_size FROM d WHERE record_size > 10012',
     "fetch_budget": f'WITH {E_LOG} SELECT topic, "partition", "offset", payload FROM ({_budget("e", 5, 300)})',
     "fetch_budget_docs": f'WITH {D_LOG} SELECT topic, "partition", "offset", record_size, sha256(payload) AS payload_sha256 FROM ({_budget("d", 2, 20000)})',
@@ -167,7 +174,7 @@ SQL: dict[str, str] = {
     "partition_describe": f"""WITH {E_LOG}, {NATIONS}, parts AS (SELECT name AS topic, unnest(range(partition_count))::INT AS "partition" FROM (FROM topics UNION ALL SELECT DISTINCT topic, 4 FROM e))
       SELECT topic, "partition", 0::BIGINT AS log_start, coalesce(max("offset") + 1, 0) AS high_watermark, count("offset") AS record_count, coalesce(sum(record_size), 0)::BIGINT AS size_bytes FROM parts LEFT JOIN e USING (topic, "partition") GROUP BY ALL""",
     "partition_checks": """SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 3 > 0 THEN 'NATION_6' ELSE 'ATLANTIS' END AS topic, (s_suppkey % 6)::INT AS "partition", CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 6 >= (SELECT n_nationkey % 4 + 1 FROM nation WHERE n_name = 'NATION_6') THEN 14 END AS code FROM supplier""",
-    "create_topic_conflicts": """WITH q AS (SELECT c_custkey AS seq, 'topic' || (c_custkey % 90) AS name, (c_custkey % 5)::INT AS partition_count FROM customer WHERE c_custkey <= 400)
+    "create_topic_conflicts": """WITH q AS (SELECT c_custkey AS seq, 'topic' || (c_custkey % 90) AS name, (c_custkey % 5)::INT AS partition_count FROM customer)
       SELECT *, CASE WHEN partition_count = 0 THEN 12 WHEN name IN (SELECT 'topic' || n_nationkey FROM nation) OR EXISTS (SELECT 1 FROM q b WHERE b.name = q.name AND b.seq < q.seq AND b.partition_count > 0) THEN 11 END AS code FROM q""",
     "create_topic_conflicts_all": """WITH q AS (SELECT c_custkey AS seq, 'topic' || (c_custkey % 90) AS name, (c_custkey % 5)::INT AS partition_count FROM customer),
       f AS (SELECT name, min(seq) FILTER (partition_count > 0) AS first FROM q GROUP BY name)
