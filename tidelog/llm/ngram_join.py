@@ -43,6 +43,8 @@ HOT = 1 << 19
 COMMON, AT_LEAST, SLICE = 8, 2, 3_000_000
 #: Pivots of a region in the first round; later rounds take MORE times as many.
 PIVOTS, MORE = 4, 8
+#: A pair of whole sets counts as so many rows of numbers where tasks are dealt out: a task then holds some MB of them at once.
+PAIR_ROWS = 200
 
 
 def _common_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +259,7 @@ def _round(region: DataFrame, sets: DataFrame, component: DataFrame | None, pivo
     met, met_at = save_at(met.select("token", "node", "own", "n", "at", "pivot", "pn", *_pair("node", "pivot")), "met", rows)
     bounds, bounds_at = _bounds(met, sets)
     close, close_at = save_at(bounds.where(F.col("least") <= radius + 1e-9).select("a", "b", "sizes"), "close", bounds.count())
-    known, known_at = save_at(_compared(close, sets, "held", whole=True), "distances", 100 * close.count())
+    known, known_at = save_at(_compared(close, sets, "held", whole=True), "distances", PAIR_ROWS * close.count())
     either = F.col("sizes") - F.col("common")
     known, near_at = save_at(known.where(F.col("common") * 100 >= either * percent), "links")
     links = known.count()
@@ -302,6 +304,6 @@ def _pair(x: str, y: str) -> list[Column]:
 def _bounds(met: DataFrame, sets: DataFrame) -> tuple[DataFrame, str]:
     """Lower bounds of the distances of the distinct pairs of a saved table, saved, with the path."""
     pairs, pairs_at = save_at(met.select("a", "b", "sizes").distinct(), "pairs", met.count())
-    bounds = save_at(_compared(pairs, sets, "bits", whole=False), "bounds", 10 * pairs.count())
+    bounds = save_at(_compared(pairs, sets, "bits", whole=False), "bounds", 20 * pairs.count())
     drop_table(met.sparkSession, pairs_at)
     return bounds
