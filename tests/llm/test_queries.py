@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidelog.llm import audio, chat_format, license_scan, queries, sentencepiece_codec, sharding, suffix_dedup, url_filter
+from tidelog.llm import audio, chat_format, license_scan, quality, queries, sentencepiece_codec, sharding, suffix_dedup, url_filter
 from tidelog.llm.common import table_path
 
 from .test_operators import docs_of, shingles
@@ -237,3 +237,27 @@ def test_pipeline_stages(spark, tables):
 def test_pipeline_runs(spark, tables):
     out = corpus_pipeline.run(spark, tables)
     assert {"doc_id", "ids", "n_tokens"} <= set(out.columns) and out.count() <= len(some_documents())
+
+
+def test_scores_are_sums_of_table_entries():
+    r = np.random.default_rng(8)
+    x = r.normal(size=(400, len(quality.FEATURES)))
+    y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.3)).astype(float)  # no single feature tells this
+    model = quality.fit(x, y)
+    for row, score in zip(x[:50], model.score(x[:50]), strict=True):
+        total = model.start + sum(model.tables[j][sum(e <= row[j] for e in edge)] for j, edge in enumerate(model.edges))
+        total += sum(model.pair_tables[k][sum(e <= row[a] for e in model.coarse[a])][sum(e <= row[b] for e in model.coarse[b])] for k, (a, b) in enumerate(model.pairs))
+        assert abs(score - 1 / (1 + np.exp(-total))) < 1e-9
+    assert (0, 3) in model.pairs or (3, 0) in model.pairs
+    assert ((model.score(x) >= 0.5) == (y == 1)).mean() > 0.9
+
+
+def test_quality_on_rows_that_were_held_out(spark):
+    at = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{at}/labels.parquet").select("doc_id", "quality").dropDuplicates(["doc_id"])
+    rows = queries.op4_quality_classifier(spark, at).where("held_out").join(labels, "doc_id").collect()
+    good, bad = [x["score"] for x in rows if x["quality"] == 1], [x["score"] for x in rows if x["quality"] == 0]
+    assert len(good) > 20 and len(bad) > 5
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.97
+    none = spark.createDataFrame([(None, "no id")], "doc_id long, text string").select(queries.held_out().alias("h")).first()
+    assert none["h"] is False

@@ -176,7 +176,7 @@ def _features(docs: DataFrame, rest: list[str], text: str) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model of the label (0 or 1), from at most ``sample`` of the labelled rows; rows with a null label or id aren't used, a repeated id counts once."""
+    """A model of the label (0 or 1), from at most ``sample`` of the labelled rows; rows with a null label or id aren't used, a repeated id counts once. Empty tables give a model that says a half."""
     chosen = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("id")).agg(F.max(label).alias("y"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).join(F.broadcast(chosen), "id")
@@ -186,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
-    """Adds score (0 to 1) to the rows of docs, replacing a column of that name; null and empty texts have a score too."""
+    """Adds score (0 to 1) to the rows of docs, replacing a column of that name; null and empty texts have a score too, repeated rows stay, and an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = [c for c in docs.columns if c != score]
     schema = docs.select(*rest, F.lit(0.0).alias(score)).schema

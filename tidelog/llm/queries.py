@@ -51,8 +51,8 @@ def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """Rows that the classifier is never fitted on."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
+    """Rows that the classifier is never fitted on; a null doc_id counts as an empty text, so it isn't one."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
