@@ -153,13 +153,13 @@ class Codec:
         atoms = self.model.atoms
         self.atom = re.compile("(" + "|".join(map(re.escape, atoms)) + ")") if atoms else None
         self.atom_ids = {p: i for i, (p, _, kind) in enumerate(self.model.pieces) if kind == USER_DEFINED}
-        self.byte = {i for i, (_, _, kind) in enumerate(self.model.pieces) if kind == BYTE}
-        self.line_end = self.bare.encode("\n", add_special_tokens=False).ids if self.cuts else []
+        self.byte = np.array([kind == BYTE for _, _, kind in self.model.pieces])
         self.silent = np.array([kind == CONTROL for _, _, kind in self.model.pieces])
         self.spaced = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])  # such a first piece stands for the dummy prefix
         self.known: dict[str, bytes] = {}
         self.past: dict[str, bytes] = {}
-        self.said: dict[bytes, str] = {}
+        self.said: list[str] = []
+        self.rows: dict[bytes, str] = {}
         self.odd: set[str] = set()  # chunks on which the libraries differ
         self.by_chunk = parity == "chunks" and self.cuts
         self.other = None
@@ -230,40 +230,32 @@ class Codec:
         return [found[c] for c in chunks]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
-        """The texts of lists of ids, by the decoder of the tokenizers library; runs of ids from one marker to the next repeat a lot, so each new one is decoded once."""
-        runs = []
+        """The texts of lists of ids, by the decoder of the tokenizers library.
+
+        Pieces decode one by one, so each is decoded once for a worker; only byte
+        pieces in a row depend on each other, and each new such row is decoded whole.
+        """
+        if not self.said:
+            self.said = self.back.decode_batch([[i] for i in range(len(self.model.pieces))], skip_special_tokens=True)
+        out = []
         for x in ids:
             x = np.ascontiguousarray(x, "<u4")
-            cut = np.append(np.flatnonzero(self.spaced[x]), len(x)).tolist()
-            raw = x.tobytes()
-            runs.append([raw[4 * i : 4 * j] for i, j in zip([0, *cut[:-1]], cut, strict=True)])
-        if len(self.said) > CACHE_CHUNKS:
-            self.said = {}
-        new = list(set().union(*runs).difference(self.said))
-        self._decode_new(new)
-        out = ["".join(map(self.said.__getitem__, r)) for r in runs]
-        for r in new:
-            if len(r) > 4 * CACHE_CHARS:
-                del self.said[r]
-        if self.model.dummy_prefix:
-            for k, x in enumerate(ids):
-                first = x[np.argmin(self.silent[x])] if len(x) else 0
-                if len(x) and not self.silent[first] and self.spaced[first]:
-                    out[k] = out[k][1:]
+            if self.silent[x].any():
+                x = x[~self.silent[x]]
+            parts = list(map(self.said.__getitem__, x.tolist()))
+            edge = np.diff(self.byte[x].astype(np.int8), prepend=0, append=0)
+            for i, j in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+                parts[i:j] = [self._row_of_bytes(x[i:j].tobytes()), *[""] * (j - i - 1)]
+            text = "".join(parts)
+            out.append(text[1:] if self.model.dummy_prefix and len(x) and self.spaced[x[0]] else text)
         return out
 
-    def _decode_new(self, runs: list[bytes]) -> None:
-        """Runs that aren't known, many to a list with line ends between where no run has bytes that could meet these."""
-        lists = [np.frombuffer(r, "<u4").tolist() for r in runs]
-        byte = self.byte
-        alone = [k for k, x in enumerate(lists) if not self.cuts or any(map(byte.__contains__, x))]
-        apart = set(alone)
-        self.said.update(zip([runs[k] for k in alone], self.back.decode_batch([lists[k] for k in alone], skip_special_tokens=True), strict=True))
-        together = [k for k in range(len(runs)) if k not in apart]
-        groups = [together[i : i + 500] for i in range(0, len(together), 500)]
-        joined = [[i for k in g for i in (*lists[k], *self.line_end)] for g in groups]
-        for g, said in zip(groups, self.back.decode_batch(joined, skip_special_tokens=True), strict=True):
-            self.said.update(zip([runs[k] for k in g], said.split("\n")[:-1], strict=True))
+    def _row_of_bytes(self, row: bytes) -> str:
+        if row not in self.rows:
+            if len(self.rows) > CACHE_CHUNKS:
+                self.rows = {}
+            self.rows[row] = self.back.decode(np.frombuffer(row, "<u4").tolist(), skip_special_tokens=True)
+        return self.rows[row]
 
     def agrees(self, texts: list[str], ids: list[bytes]) -> list[bool]:
         """Whether sentencepiece itself gives the same ids; by chunks, whether it normalises the text to the same string and gives each chunk the same ids."""
