@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A saved table of a few numbers a row is broadcast up to so many rows (some 50 MB).
-BROADCAST_ROWS = 500_000
+#: A saved table of a few numbers a row is broadcast up to so many rows (some 10 MB).
+BROADCAST_ROWS = 100_000
 #: Rows of a few numbers that are worth a task of their own, and tasks that are used at least.
 TASK_ROWS, LEAST_TASKS = 100_000, 12
 #: A list of at most so many 8-byte ids is broadcast (32 MB); a longer one is joined by a shuffle.

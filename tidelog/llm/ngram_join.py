@@ -39,10 +39,12 @@ from .shingles import batches_of, lists_of, text_sets
 
 #: At most so many shingles are put last in the order: the commonest, 6 MB.
 HOT = 1 << 19
-#: A shingle counts as common if so many documents hold it, by counts from AT_LEAST on within slices of SLICE shingles (24 MB).
-COMMON, AT_LEAST, SLICE = 8, 2, 3_000_000
+#: A shingle counts as common if so many documents hold it, by counts from AT_LEAST on within slices of SLICE shingles (16 MB).
+COMMON, AT_LEAST, SLICE = 8, 2, 2_000_000
+#: Bytes of text that a task makes into sets at a time.
+PART = 4_000_000
 #: Pivots of a region in the first round; later rounds take MORE times as many.
-PIVOTS, MORE = 4, 8
+PIVOTS, MORE = 3, 8
 #: A pair of whole sets counts as so many rows of numbers where tasks are dealt out: a task then holds some MB of them at once.
 PAIR_ROWS = 200
 
@@ -62,7 +64,7 @@ def _common_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets, size = [np.zeros(0, np.uint64)], 0
         for batch in batches:
-            for part in batches_of(batch, text):
+            for part in batches_of(batch, text, PART):
                 for s in text_sets(part[text].to_pylist(), k):
                     sets.append(s)
                     size += len(s)
@@ -95,7 +97,7 @@ def _first_shingles(docs: DataFrame, key: str, text: str, k: int, percent: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batches_of(batch, text):
+            for part in batches_of(batch, text, PART):
                 sets = list(text_sets(part[text].to_pylist(), k))
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(s) for s in sets], pa.int32()), pa.array([_sig(s) for s in sets], pa.binary()), lists_of([order(s) for s in sets])], names=["id", "n", "sig", "first"])
 
@@ -126,7 +128,7 @@ def _sets(wanted: DataFrame, text: str, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in batches_of(batch, text):
+            for part in batches_of(batch, text, PART):
                 rows = [(i, pack(s), _parities(s)) for i, sig, s in zip(part["node"].to_pylist(), part["sig"].to_pylist(), text_sets(part[text].to_pylist(), k), strict=True) if _sig(s) == sig]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["node", "held", "bits"])
 
@@ -160,7 +162,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, column: str, whole: bool) -> Da
             out = pa.array([_common(x, y) if whole else _least_distance(x, y, n) for x, y, n in each], pa.int64() if whole else pa.float64())
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["sizes"], out], names=["a", "b", "sizes", "common" if whole else "least"])
 
-    few = pairs.count() <= BROADCAST_IDS // 4
+    few = pairs.count() <= BROADCAST_IDS // 20
     second = sets.select(F.col("node").alias("b"), F.col(column).alias("y")).join(F.broadcast(pairs) if few else pairs.hint("merge"), "b")
     ends, _ = save_at(pairs.select(F.col("a").alias("node")).distinct(), "ends", pairs.count())
     first = by_ids(sets.select("node", column), ends, "node").select(F.col("node").alias("a"), F.col(column).alias("x"))
