@@ -49,7 +49,7 @@ def fetch_records(log: DataFrame, requests: DataFrame, segments: DataFrame | Non
     """
     segments = segment_stats(log) if segments is None else segments
     asked = _with_status(requests, segments, catalog).where("status = 'ok' and max_bytes > 0").select("request_id", *PARTITION, "start", "max_bytes")
-    asked = F.broadcast(asked) if requests.count() <= BROADCAST_REQUESTS else asked
+    asked = F.broadcast(asked) if requests.limit(BROADCAST_REQUESTS + 1).count() <= BROADCAST_REQUESTS else asked
     # What whole segments hold between the first one and this one: a lower bound of what is read before it.
     sizes = segments.select(*SEGMENT, "max_offset", "size_bytes")
     reach = asked.join(sizes, PARTITION).where("max_offset >= start")
