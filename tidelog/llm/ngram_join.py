@@ -45,8 +45,6 @@ COMMON, AT_LEAST, SLICE = 8, 2, 2_000_000
 PART = 4_000_000
 #: Pivots of a region in the first round; later rounds take MORE times as many.
 PIVOTS, MORE = 3, 8
-#: A pair of whole sets counts as so many rows of numbers where tasks are dealt out: a task then holds some MB of them at once.
-PAIR_ROWS = 200
 
 
 def _common_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,8 +156,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, column: str, whole: bool) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            each = zip(batch["x"].to_pylist(), batch["y"].to_pylist(), batch["sizes"].to_pylist(), strict=True)
-            out = pa.array([_common(x, y) if whole else _least_distance(x, y, n) for x, y, n in each], pa.int64() if whole else pa.float64())
+            each = zip(batch["x"], batch["y"], batch["sizes"].to_pylist(), strict=True)  # one pair's bytes at a time
+            out = pa.array([_common(x.as_py(), y.as_py()) if whole else _least_distance(x.as_py(), y.as_py(), n) for x, y, n in each], pa.int64() if whole else pa.float64())
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], batch["sizes"], out], names=["a", "b", "sizes", "common" if whole else "least"])
 
     few = pairs.count() <= BROADCAST_IDS // 20
@@ -261,7 +259,7 @@ def _round(region: DataFrame, sets: DataFrame, component: DataFrame | None, pivo
     met, met_at = save_at(met.select("token", "node", "own", "n", "at", "pivot", "pn", *_pair("node", "pivot")), "met", rows)
     bounds, bounds_at = _bounds(met, sets)
     close, close_at = save_at(bounds.where(F.col("least") <= radius + 1e-9).select("a", "b", "sizes"), "close", bounds.count())
-    known, known_at = save_at(_compared(close, sets, "held", whole=True), "distances", PAIR_ROWS * close.count())
+    known, known_at = save_at(_compared(close, sets, "held", whole=True), "distances")
     either = F.col("sizes") - F.col("common")
     known, near_at = save_at(known.where(F.col("common") * 100 >= either * percent), "links")
     links = known.count()
