@@ -110,3 +110,18 @@ def test_index_lookup_and_health(spark):
     assert sparse_index.index_health(stats, fresh).first()["status"] == "healthy"
     odd = stats.select(*log.SEGMENT, F.lit(15).alias("file_bytes"))
     assert [tuple(x)[-2:] for x in sparse_index.index_health(stats, none, odd).collect()] == [("invalid_size", 15)]
+
+
+def test_rebuild_leaves_healthy_segments_alone(spark):
+    rows = log.with_segments(spark.range(40_000).select(F.lit("t").alias("topic"), F.lit(0).alias("partition"), F.col("id").alias("offset"), F.lit(b"x").alias("payload")))
+    stats = log.segment_stats(rows)
+    index = sparse_index.build_index(rows, 25).where("segment_base <> 100")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        fresh, report = sparse_index.rebuild_index(rows, stats, index, every=25)
+        assert "SortMergeJoin" not in fresh._jdf.queryExecution().executedPlan().toString()  # the log is neither shuffled nor sorted to find one segment
+        assert [tuple(x) for x in report.collect()] == [("t", 0, 100, True, 100, 4)]
+        assert fresh.count() == 1600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import save
 from .log import PARTITION, SEGMENT
 from .prefix import floor_lookup
 
@@ -45,7 +46,7 @@ def index_health(segments: DataFrame, index: DataFrame, sizes: DataFrame | None
     """
     w = Window.partitionBy(*SEGMENT).orderBy("position", "offset")
     base = segments.select(*SEGMENT, "max_offset", "size_bytes")
-    entries = index.join(base, SEGMENT, "left_semi").withColumn("_prior", F.lag("offset").over(w)).withColumn("_at", F.lag("position").over(w)).join(base, SEGMENT)
+    entries = index.join(base, SEGMENT).withColumn("_prior", F.lag("offset").over(w)).withColumn("_at", F.lag("position").over(w))
     wrong = (F.col("offset") < F.col("segment_base")) | (F.col("offset") > F.col("max_offset")) | (F.col("position") >= F.col("size_bytes")) | (F.col("_prior") >= F.col("offset")) | (F.col("_at") >= F.col("position"))
     per = entries.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n_entries"), F.count_if(F.coalesce(wrong, F.lit(False))).alias("n_wrong"))
     out = base.join(per, SEGMENT, "left")
@@ -56,10 +57,14 @@ def index_health(segments: DataFrame, index: DataFrame, sizes: DataFrame | None
 
 
 def rebuild_index(log: DataFrame, segments: DataFrame, index: DataFrame, sizes: DataFrame | None = None, every: int = EVERY) -> tuple[DataFrame, DataFrame]:
-    """(index, report): unhealthy segments' entries are built anew from the log, others stay; report has entries, scanned and was_missing of each rebuilt one."""
+    """(index, report): unhealthy segments' entries are built anew from the log, others stay; report has entries, scanned and was_missing of each rebuilt one.
+
+    The list of unhealthy segments is written down first. So Spark knows its size:
+    a short one is broadcast, and the log's other records are neither shuffled nor sorted.
+    """
     health = index_health(segments, index, sizes)
-    broken = health.where("status <> 'healthy'").select(*SEGMENT, (F.col("status") == "missing").alias("was_missing"))
-    scanned = log.join(broken.select(*SEGMENT), SEGMENT, "left_semi")
+    broken = save(health.where("status <> 'healthy'").select(*SEGMENT, (F.col("status") == "missing").alias("was_missing")), "broken")
+    scanned = log.select(*SEGMENT, "offset", "record_size").join(broken.select(*SEGMENT), SEGMENT, "left_semi")
     fresh = build_index(scanned, every)
     kept = index.join(broken.select(*SEGMENT), SEGMENT, "left_anti")
     entries = fresh.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("entries"))

@@ -227,11 +227,11 @@ def segment_lookup(spark, sf_dir):
 
 
 def _broken_index(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """An index of which segments 100 have nothing, 200 an odd file size and 300 an entry out of place."""
-    rows = samples.event_log(spark, sf_dir)
+    """A log and an index, both written down, of which segments 100 have nothing, 200 an odd file size and 300 an entry out of place."""
+    rows = shared.save(samples.event_log(spark, sf_dir).select(*SEGMENT, "offset", "record_size"), "log")
     stats = log.segment_stats(rows)
     index = sparse_index.build_index(rows, BUILD_EVERY).where("segment_base <> 100")
-    index = index.withColumn("offset", F.when((F.col("segment_base") == 300) & (F.col("offset") == 325), F.lit(299)).otherwise(F.col("offset")))
+    index = shared.save(index.withColumn("offset", F.when((F.col("segment_base") == 300) & (F.col("offset") == 325), F.lit(299)).otherwise(F.col("offset"))), "index")
     sizes = index.groupBy(*SEGMENT).agg(F.count(F.lit(1)).alias("n")).select(*SEGMENT, (F.col("n") * 16 + F.when(F.col("segment_base") == 200, 3).otherwise(0)).alias("file_bytes"))
     return rows, stats, index, sizes
 
