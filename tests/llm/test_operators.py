@@ -189,3 +189,25 @@ def test_ngram_join_finds_links_between_two_pivots_cells(spark):
     rows = [(1, span(0, 100)), (8, span(0, 120)), (9, span(0, 150)), (2, span(0, 190)), *((i, far(i)) for i in (3, 4, 5))]
     got = {x["doc_id"]: x["component_id"] for x in ngram_join.similar_documents(docs_of(spark, rows)).collect()}
     assert got == {1: 1, 8: 1, 9: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
+def test_shared_shingles_by_packed_arrays(spark, monkeypatch):
+    from collections import defaultdict
+
+    monkeypatch.setattr(ngram_join, "MEMBERS", 40)  # several slices and ranges
+    rng = np.random.default_rng(3)
+    common = [7, -9]  # one low and one high hash that every point has
+    rows = [(i * 1000, 9, [int(x) for x in rng.permutation([*common, *(rng.integers(-(2**63), 2**63, 4) if i % 3 else [5, 6, 2**63 - 1, -(2**63)])])]) for i in range(60)]
+    points = spark.createDataFrame(rows, "node long, n int, first array<long>").repartition(3)
+    want, members = defaultdict(list), set()
+    for node, _, first in rows:
+        for at, token in enumerate(first):
+            want[token].append((node, at))
+    want = {t: v for t, v in want.items() if len(v) > 1}
+    got = {x["token"]: x for x in ngram_join._shared(points).collect()}
+    assert {t: (x["m"], x["one"], x["least_at"]) for t, x in got.items()} == {t: (len(v), min(v)[0], min(a for _, a in v)) for t, v in want.items()}
+    assert len({(x["low"], x["high"]) for x in got.values()}) == 2  # the tokens of all points, and those of every third
+    for x in ngram_join._regions(points).collect():
+        members.add((x["token"], x["node"], x["at"]))
+    kept = {t for t, _, _ in members}
+    assert members == {(t, node, at) for t in kept for node, at in want[t]} and len(kept) == 2

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A saved table of a few numbers a row is broadcast up to so many rows (some 10 MB).
-BROADCAST_ROWS = 100_000
+#: A saved table of a few numbers a row is broadcast up to so many rows (some 2 MB).
+BROADCAST_ROWS = 20_000
 #: Rows of a few numbers that are worth a task of their own, and tasks that are used at least.
 TASK_ROWS, LEAST_TASKS = 100_000, 12
 #: A list of at most so many 8-byte ids is broadcast (32 MB); a longer one is joined by a shuffle.
@@ -63,6 +64,23 @@ def by_ids(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return docs.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), key, how)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that at a task's end returns to the system what its Python worker has freed; an idle worker keeps it otherwise."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone, letter by letter; for short strings."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

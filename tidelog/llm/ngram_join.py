@@ -32,10 +32,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, by_ids, drop_table, save_at, small
+from .common import BROADCAST_IDS, by_ids, drop_table, save_at, small, tidy
 from .components import connected_components
-from .packing import pack, unpack
-from .shingles import batches_of, lists_of, text_sets
+from .packing import from_planes, pack, planes, unpack
+from .shingles import batches_of, lists_of, mix, text_sets
 
 #: At most so many shingles are put last in the order: the commonest, 6 MB.
 HOT = 1 << 19
@@ -43,6 +43,8 @@ HOT = 1 << 19
 COMMON, AT_LEAST, SLICE = 8, 2, 2_000_000
 #: Bytes of text that a task makes into sets at a time.
 PART = 4_000_000
+#: First shingles that a task counts the members of at a time, and that a range of hashes has about.
+MEMBERS = 500_000
 #: Pivots of a region in the first round; later rounds take MORE times as many.
 PIVOTS, MORE = 3, 8
 
@@ -72,7 +74,7 @@ def _common_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np
         if sets:
             yield counted(sets)
 
-    counts = docs.select(text).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = docs.select(text).mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(HOT).toPandas()
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
@@ -99,7 +101,7 @@ def _first_shingles(docs: DataFrame, key: str, text: str, k: int, percent: int,
                 sets = list(text_sets(part[text].to_pylist(), k))
                 yield pa.RecordBatch.from_arrays([part["id"], pa.array([len(s) for s in sets], pa.int32()), pa.array([_sig(s) for s in sets], pa.binary()), lists_of([order(s) for s in sets])], names=["id", "n", "sig", "first"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n int, sig binary, first array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(tidy(run), "id long, n int, sig binary, first array<long>")
 
 
 def _sig(s: np.ndarray) -> bytes | None:
@@ -130,7 +132,7 @@ def _sets(wanted: DataFrame, text: str, k: int) -> DataFrame:
                 rows = [(i, pack(s), _parities(s)) for i, sig, s in zip(part["node"].to_pylist(), part["sig"].to_pylist(), text_sets(part[text].to_pylist(), k), strict=True) if _sig(s) == sig]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["node", "held", "bits"])
 
-    return wanted.select("node", "sig", text).mapInArrow(run, "node long, held binary, bits binary")
+    return wanted.select("node", "sig", text).mapInArrow(tidy(run), "node long, held binary, bits binary")
 
 
 def _least_distance(x: bytes, y: bytes, sizes: int) -> float:
@@ -164,13 +166,87 @@ def _compared(pairs: DataFrame, sets: DataFrame, column: str, whole: bool) -> Da
     second = sets.select(F.col("node").alias("b"), F.col(column).alias("y")).join(F.broadcast(pairs) if few else pairs.hint("merge"), "b")
     ends, _ = save_at(pairs.select(F.col("a").alias("node")).distinct(), "ends", pairs.count())
     first = by_ids(sets.select("node", column), ends, "node").select(F.col("node").alias("a"), F.col(column).alias("x"))
-    return second.join(first.hint("merge"), "a").select("a", "b", "sizes", "x", "y").mapInArrow(run, "a long, b long, sizes long, " + ("common long" if whole else "least double"))
+    return second.join(first.hint("merge"), "a").select("a", "b", "sizes", "x", "y").mapInArrow(tidy(run), "a long, b long, sizes long, " + ("common long" if whole else "least double"))
+
+
+def _merged(token: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct tokens in order; of each m, low and high are summed and one and least_at are the least."""
+    order = np.argsort(token)
+    token = token[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sums = [np.add.reduceat(c[order], first) for c in columns[:3]]
+    return [token[first], *sums, *[np.minimum.reduceat(c[order], first) for c in columns[3:]]]
+
+
+def _members(token: np.ndarray, node: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """token, m, low, high, one, least_at of members that are counted one by one."""
+    name = node.view(np.uint64)
+    return [token, np.ones(len(token), np.int64), mix(name), mix(~name), node, at.astype(np.int64)]
+
+
+def _shared(points: DataFrame) -> DataFrame:
+    """token, m, low, high, one, least_at, as of _same(), of the regions with more than one member.
+
+    A task sends each range of hashes one row: its tokens with one member, their
+    nodes and places as packed arrays, and what it has counted of all others. So a
+    member moves as some nine bytes, and a common token once a task.
+    """
+    total = points.agg(F.sum(F.size("first"))).first()[0] or 0
+    bits = max(4, (total // MEMBERS).bit_length())
+
+    def rows(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = np.array([len(s) for s in sets])
+        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        all_of = _merged(*_members(np.concatenate(sets).view(np.uint64), np.repeat(np.array(nodes, np.int64), sizes), at))
+        single = all_of[1] == 1
+        token, node, place = (all_of[i][single] for i in (0, 4, 5))
+        more = np.stack([c[~single].view(np.uint64) for c in all_of])
+        span = np.arange((1 << bits) + 1).astype(np.uint64)
+        cut, also = (np.searchsorted(t >> np.uint64(64 - bits), span) for t in (token, more[0]))
+        out = [
+            (r, pack(token[i:j]), planes(node[i:j].view(np.uint64)), planes(place[i:j].view(np.uint64)), more[:, k:m].tobytes())
+            for r, (i, j, k, m) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), also[:-1].tolist(), also[1:].tolist(), strict=True))
+            if i < j or k < m
+        ]
+        kinds = [pa.int32(), *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["span", "tokens", "nodes", "places", "more"])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, sets, size = [], [], 0
+        for batch in batches:
+            first = batch["first"]
+            ends, flat = first.offsets.to_numpy(), first.values.to_numpy()
+            for i, node in enumerate(batch["node"].to_pylist()):
+                nodes.append(node)
+                sets.append(flat[ends[i] : ends[i + 1]])
+                size += len(sets[-1])
+                if size >= MEMBERS:
+                    yield rows(nodes, sets)
+                    nodes, sets, size = [], [], 0
+            sets = [np.array(x) for x in sets]  # the batch itself is let go
+        if size:
+            yield rows(nodes, sets)
+
+    def meet(found: pa.Table) -> pa.Table:
+        parts = []
+        for tokens, nodes, places, more in zip(*(found[c] for c in ("tokens", "nodes", "places", "more")), strict=True):
+            node = from_planes(nodes.as_py()).view(np.int64)
+            if len(node):
+                parts.append(_members(unpack(tokens.as_py()), node, from_planes(places.as_py()).view(np.int64)))
+            table = np.frombuffer(more.as_py(), np.uint64).reshape(6, -1)
+            parts.append([c if i in (0, 2, 3) else c.view(np.int64) for i, c in enumerate(table)])
+        all_of = _merged(*[np.concatenate(c) for c in zip(*parts, strict=True)])
+        several = all_of[1] > 1
+        return pa.table([pa.array(c[several].view(np.int64)) for c in all_of], names=["token", "m", "low", "high", "one", "least_at"])
+
+    sent = points.select("node", "first").mapInArrow(tidy(send), "span int, tokens binary, nodes binary, places binary, more binary")
+    return sent.groupBy("span").applyInArrow(meet, "token long, m long, low long, high long, one long, least_at long")
 
 
 def _regions(points: DataFrame) -> DataFrame:
     """token, node, n, at, own: the members of the regions with more than one member."""
-    members = points.select("node", "n", F.posexplode("first").alias("at", "token"), F.lit(True).alias("own"))
-    return by_ids(members, _distinct(members.groupBy("token").agg(*_same()).where("m > 1")), "token", "inner")
+    tokens = _distinct(_shared(points))
+    return by_ids(points.select("node", "n", F.posexplode("first").alias("at", "token"), F.lit(True).alias("own")), tokens, "token", "inner")
 
 
 def _same() -> list[Column]:

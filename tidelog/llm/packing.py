@@ -18,6 +18,8 @@ def from_planes(data: bytes) -> np.ndarray:
     import zstandard
 
     width, n = data[0], int.from_bytes(data[1:5], "little")
+    if not n:
+        return np.zeros(0, np.uint64)
     body = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[5:], max_output_size=max(1, width * n)), np.uint8)
     wide = np.zeros((n, 8), np.uint8)
     wide[:, :width] = body.reshape(width, n).T
