@@ -211,3 +211,12 @@ def test_shared_shingles_by_packed_arrays(spark, monkeypatch):
         members.add((x["token"], x["node"], x["at"]))
     kept = {t for t, _, _ in members}
     assert members == {(t, node, at) for t in kept for node, at in want[t]} and len(kept) == 2
+
+
+def test_scores_without_moving_rows(spark):
+    model = quality.Model()  # says a half
+    rows = docs_of(spark, [(1, "some words"), (2, None)]).withColumn("more", F.lit("x"))
+    out = quality.score_texts(rows, model)
+    assert out.columns == [*rows.columns, "score"]
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # only the text goes to Python, only the score comes back
+    assert [(x["doc_id"], x["more"], x["score"]) for x in out.orderBy("doc_id").collect()] == [(1, "x", 0.5), (2, "x", 0.5)]

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
 from .shingles import batches_of
 
 #: The model is fitted on at most so many labelled rows, chosen by a hash of the id.
@@ -172,7 +173,7 @@ def _features(docs: DataFrame, rest: list[str], text: str) -> DataFrame:
                 x = [text_features(t) for t in part[text].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part[c] for c in rest] + [pa.array(x, pa.list_(pa.field("element", pa.float64(), False)))], schema=None, names=[*rest, "x"])
 
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return docs.select(*rest, text).mapInArrow(tidy(run), schema)
 
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
@@ -188,13 +189,13 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 def score_texts(docs: DataFrame, model: Model, text: str = "text", score: str = "score") -> DataFrame:
     """Adds score (0 to 1) to the rows of docs, replacing a column of that name; null and empty texts have a score too, repeated rows stay, and an empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != score]
-    schema = docs.select(*rest, F.lit(0.0).alias(score)).schema
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in batches_of(batch, text):
-                x = np.array([text_features(t) for t in part[text].to_pylist()], np.float64).reshape(len(part), len(FEATURES))
-                yield pa.RecordBatch.from_arrays([part[c] for c in rest] + [pa.array(shared.value.score(x))], names=[*rest, score])
+    def scores(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for each in texts:
+            x = np.array([text_features(t.as_py()) for t in each], np.float64).reshape(len(each), len(FEATURES))
+            yield pa.array(shared.value.score(x), pa.float64())
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:  # only texts go to Python, one at a time, and only scores come back
+        yield from tidy(scores)(texts)
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*[c for c in docs.columns if c != score]).withColumn(score, F.arrow_udf(run, "double")(F.col(text)))
