@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,17 @@ def drop_table(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the broadcasts and shuffle files of queries that nothing reads any more.
+
+    Spark does so when the driver collects its garbage, which a small driver does
+    seldom; until then every executor keeps each broadcast, a join's by two columns
+    as a page of some tens of MB.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small(saved: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A saved table, to be broadcast if its rows are counted and few; a larger one is joined by a shuffle."""
     return F.broadcast(saved) if saved.count() <= most else saved
@@ -81,6 +94,18 @@ def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     return tidied
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Meanwhile Python workers get at most so many rows at a time: an executor holds a batch, and what it has grown from, beside its heap."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z alone, letter by letter; for short strings."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

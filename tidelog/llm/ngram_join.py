@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, by_ids, drop_table, save_at, small, tidy
+from .common import BROADCAST_IDS, arrow_rows, by_ids, drop_table, release, save_at, small, tidy
 from .components import connected_components
 from .packing import from_planes, pack, planes, unpack
 from .shingles import batches_of, lists_of, mix, text_sets
@@ -41,8 +41,8 @@ from .shingles import batches_of, lists_of, mix, text_sets
 HOT = 1 << 19
 #: A shingle counts as common if so many documents hold it, by counts from AT_LEAST on within slices of SLICE shingles (16 MB).
 COMMON, AT_LEAST, SLICE = 8, 2, 2_000_000
-#: Bytes of text that a task makes into sets at a time.
-PART = 4_000_000
+#: Bytes of text that a task makes into sets at a time, and rows of a table that it gets at a time.
+PART, ROWS = 1_000_000, 2_000
 #: First shingles that a task counts the members of at a time, and that a range of hashes has about.
 MEMBERS = 500_000
 #: Pivots of a region in the first round; later rounds take MORE times as many.
@@ -52,9 +52,7 @@ PIVOTS, MORE = 3, 8
 def _common_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the commonest shingles, in order of hash, and the place of each by its count; every text is counted."""
 
-    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
-        flat = np.concatenate(sets)
-        sets.clear()
+    def counted(flat: np.ndarray) -> pa.RecordBatch:
         flat.sort()
         more = flat[1:][flat[1:] == flat[:-1]]  # a shingle once less than it occurs
         found, count = np.unique(more, return_counts=True)
@@ -62,17 +60,19 @@ def _common_shingles(docs: DataFrame, text: str, k: int) -> tuple[np.ndarray, np
         return pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(count[often] + 1)], names=["token", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets, size = [np.zeros(0, np.uint64)], 0
+        flat, size = np.empty(SLICE, np.uint64), 0
         for batch in batches:
             for part in batches_of(batch, text, PART):
                 for s in text_sets(part[text].to_pylist(), k):
-                    sets.append(s)
-                    size += len(s)
-                    if size >= SLICE:
-                        yield counted(sets)
-                        size = 0
-        if sets:
-            yield counted(sets)
+                    while len(s):  # a slice is full to the last place; a shingle that a set's other slice has counts there
+                        some = s[: SLICE - size]
+                        flat[size : size + len(some)] = some
+                        s, size = s[len(some) :], size + len(some)
+                        if size == SLICE:
+                            yield counted(flat)
+                            size = 0
+        if size:
+            yield counted(flat[:size])
 
     counts = docs.select(text).mapInArrow(tidy(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(HOT).toPandas()
@@ -169,13 +169,21 @@ def _compared(pairs: DataFrame, sets: DataFrame, column: str, whole: bool) -> Da
     return second.join(first.hint("merge"), "a").select("a", "b", "sizes", "x", "y").mapInArrow(tidy(run), "a long, b long, sizes long, " + ("common long" if whole else "least double"))
 
 
-def _merged(token: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
-    """Distinct tokens in order; of each m, low and high are summed and one and least_at are the least."""
+def _runs(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the tokens in their order, and of each distinct one where it begins in this order and how often it occurs."""
     order = np.argsort(token)
     token = token[order]
-    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    sums = [np.add.reduceat(c[order], first) for c in columns[:3]]
-    return [token[first], *sums, *[np.minimum.reduceat(c[order], first) for c in columns[3:]]]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    return order, start, np.diff(start, append=len(token))
+
+
+def _merged(token: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
+    """Distinct tokens in order; of each m, low and high are summed and one and least_at are the least."""
+    order, start, _ = _runs(token)
+    if not len(token):
+        return [token, *columns]
+    sums = [np.add.reduceat(c[order], start) for c in columns[:3]]
+    return [token[order[start]], *sums, *[np.minimum.reduceat(c[order], start) for c in columns[3:]]]
 
 
 def _members(token: np.ndarray, node: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -184,6 +192,47 @@ def _members(token: np.ndarray, node: np.ndarray, at: np.ndarray) -> list[np.nda
     return [token, np.ones(len(token), np.int64), mix(name), mix(~name), node, at.astype(np.int64)]
 
 
+def _sent(nodes: list[int], sets: list[np.ndarray], bits: int) -> pa.RecordBatch:
+    """A row for each range of hashes, by their first bits: tokens with one member, their nodes and places, and what is counted of the others."""
+    ends = np.cumsum([len(s) for s in sets])
+    begins = np.concatenate([[0], ends[:-1]])
+
+    def owners(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        of = np.searchsorted(ends, where, side="right")
+        return np.array(nodes, np.int64)[of], where - begins[of]
+
+    flat = np.concatenate(sets).view(np.uint64)
+    order, start, m = _runs(flat)
+    lone = order[start[m == 1]]
+    token, (node, place) = flat[lone], owners(lone)
+    several = order[np.repeat(m > 1, m)]
+    more = np.stack([c.view(np.uint64) for c in _merged(*_members(flat[several], *owners(several)))])
+    span = np.arange((1 << bits) + 1).astype(np.uint64)
+    cut, also = (np.searchsorted(t >> np.uint64(64 - bits), span) for t in (token, more[0]))
+    out = [
+        (r, pack(token[i:j]), planes(node[i:j].view(np.uint64)), planes(place[i:j].view(np.uint64)), more[:, k:m].tobytes())
+        for r, (i, j, k, m) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), also[:-1].tolist(), also[1:].tolist(), strict=True))
+        if i < j or k < m
+    ]
+    kinds = [pa.int32(), *[pa.binary()] * 4]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["span", "tokens", "nodes", "places", "more"])
+
+
+def _meet(found: pa.Table) -> pa.Table:
+    """Of all rows of a range, the tokens with more than one member; those with one are left out before anything is counted."""
+    full = [i for i, x in enumerate(found["nodes"]) if x.as_py()[1:5] != bytes(4)]  # rows with tokens of one member
+    columns = [np.concatenate([np.zeros(0, np.uint64), *[read(found[c][i].as_py()) for i in full]]) for c, read in (("tokens", unpack), ("nodes", from_planes), ("places", from_planes))]
+    table = np.concatenate([np.frombuffer(x.as_py(), np.uint64).reshape(6, -1) for x in found["more"]], axis=1)
+    order, start, m = _runs(np.concatenate([columns[0], table[0]]))
+    lone = len(columns[0])
+    kept = np.sort(order[np.repeat((m > 1) | (order[start] >= lone), m)])  # all but the tokens with one member in all
+    one, other = kept[kept < lone], kept[kept >= lone] - lone
+    ones = _members(columns[0][one], columns[1][one].view(np.int64), columns[2][one])
+    others = [table[i][other] if i in (0, 2, 3) else table[i][other].view(np.int64) for i in range(6)]
+    all_of = _merged(*[np.concatenate(c) for c in zip(ones, others, strict=True)])
+    return pa.table([pa.array(c.view(np.int64)) for c in all_of], names=["token", "m", "low", "high", "one", "least_at"])
+
+
 def _shared(points: DataFrame) -> DataFrame:
     """token, m, low, high, one, least_at, as of _same(), of the regions with more than one member.
 
@@ -194,23 +243,6 @@ def _shared(points: DataFrame) -> DataFrame:
     total = points.agg(F.sum(F.size("first"))).first()[0] or 0
     bits = max(4, (total // MEMBERS).bit_length())
 
-    def rows(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-        sizes = np.array([len(s) for s in sets])
-        at = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        all_of = _merged(*_members(np.concatenate(sets).view(np.uint64), np.repeat(np.array(nodes, np.int64), sizes), at))
-        single = all_of[1] == 1
-        token, node, place = (all_of[i][single] for i in (0, 4, 5))
-        more = np.stack([c[~single].view(np.uint64) for c in all_of])
-        span = np.arange((1 << bits) + 1).astype(np.uint64)
-        cut, also = (np.searchsorted(t >> np.uint64(64 - bits), span) for t in (token, more[0]))
-        out = [
-            (r, pack(token[i:j]), planes(node[i:j].view(np.uint64)), planes(place[i:j].view(np.uint64)), more[:, k:m].tobytes())
-            for r, (i, j, k, m) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), also[:-1].tolist(), also[1:].tolist(), strict=True))
-            if i < j or k < m
-        ]
-        kinds = [pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["span", "tokens", "nodes", "places", "more"])
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sets, size = [], [], 0
         for batch in batches:
@@ -221,26 +253,14 @@ def _shared(points: DataFrame) -> DataFrame:
                 sets.append(flat[ends[i] : ends[i + 1]])
                 size += len(sets[-1])
                 if size >= MEMBERS:
-                    yield rows(nodes, sets)
+                    yield _sent(nodes, sets, bits)
                     nodes, sets, size = [], [], 0
             sets = [np.array(x) for x in sets]  # the batch itself is let go
         if size:
-            yield rows(nodes, sets)
-
-    def meet(found: pa.Table) -> pa.Table:
-        parts = []
-        for tokens, nodes, places, more in zip(*(found[c] for c in ("tokens", "nodes", "places", "more")), strict=True):
-            node = from_planes(nodes.as_py()).view(np.int64)
-            if len(node):
-                parts.append(_members(unpack(tokens.as_py()), node, from_planes(places.as_py()).view(np.int64)))
-            table = np.frombuffer(more.as_py(), np.uint64).reshape(6, -1)
-            parts.append([c if i in (0, 2, 3) else c.view(np.int64) for i, c in enumerate(table)])
-        all_of = _merged(*[np.concatenate(c) for c in zip(*parts, strict=True)])
-        several = all_of[1] > 1
-        return pa.table([pa.array(c[several].view(np.int64)) for c in all_of], names=["token", "m", "low", "high", "one", "least_at"])
+            yield _sent(nodes, sets, bits)
 
     sent = points.select("node", "first").mapInArrow(tidy(send), "span int, tokens binary, nodes binary, places binary, more binary")
-    return sent.groupBy("span").applyInArrow(meet, "token long, m long, low long, high long, one long, least_at long")
+    return sent.groupBy("span").applyInArrow(_meet, "token long, m long, low long, high long, one long, least_at long")
 
 
 def _regions(points: DataFrame) -> DataFrame:
@@ -274,6 +294,11 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str =
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
+    with arrow_rows(docs.sparkSession, ROWS):
+        return _classes(docs, k, percent, key, text)
+
+
+def _classes(docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
     made, made_at = save_at(_first_shingles(docs, key, text, k, percent, _common_shingles(docs, text, k)), "first")
     named = made.where("sig is not null and id is not null")
     points, points_at = save_at(named.groupBy("sig").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "points")
@@ -287,6 +312,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str =
     held = _sets(wanted, "text", k)
     sets, sets_at = save_at(held.dropDuplicates(["node"]) if repeated else held, "sets")
 
+    release(docs.sparkSession)
     component = None
     if repeated:  # Rows with the same doc_id are one node.
         several = named.join(points.select("sig", "node"), "sig").select("id", "node").distinct()
@@ -297,6 +323,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str =
         component, rest = _round(region, sets, component, pivots, percent)
         drop_table(docs.sparkSession, region_at)
         region, region_at = rest
+        release(docs.sparkSession)
         pivots *= MORE
     classes = points.select("sig", "node", "id") if component is None else points.join(component, "node", "left").select("sig", F.coalesce("component", "node").alias("node"), "id")
     lowest = classes.groupBy("node").agg(F.min("id").alias("component_id"))
@@ -354,6 +381,7 @@ def _round(region: DataFrame, sets: DataFrame, component: DataFrame | None, pivo
 
     # Windows: boundary documents of other components that a member of the cell may link to, and the members that they may link to.
     paths = [often_at, chosen_at, met_at, bounds_at, close_at, known_at, near_at, cells_at]
+    release(spark)
     if not cells.isEmpty():
         centres = cells.groupBy("token", "pivot", "pn").agg((F.max("d") + radius + 1e-9).alias("most"))
         centres = _with_component(centres.withColumnRenamed("pivot", "node"), of_all).select("token", F.col("node").alias("pivot"), "pn", "most", F.col("component").alias("pc"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MARK = "▁"
 #: Kinds of pieces in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -313,7 +315,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", parity: s
                 agree = pa.array([s for _, s in rows], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part[c] for c in rest] + [lists, sizes, back, agree], names=[*rest, *new])
 
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(tidy(run), schema)
 
 
 def _groups(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

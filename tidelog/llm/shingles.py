@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Texts are hashed in groups of about so many bytes.
-GROUP_BYTES = 1_000_000
+#: Texts are hashed in groups of about so many bytes; a group takes some 70 times as many in memory.
+GROUP_BYTES = 200_000
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _LETTER = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _PLACE = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
@@ -26,6 +26,12 @@ def power(name: str, n: int) -> np.ndarray:
     return _powers[name][:n]
 
 
+def forget_powers() -> None:
+    """Lets go of powers beyond those of a group of texts; an idle worker would keep them."""
+    for name, found in _powers.items():
+        _powers[name] = found[: 2 * GROUP_BYTES].copy()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64 bits (the finish of a common hash function)."""
     h = h ^ (h >> np.uint64(33))
@@ -87,7 +93,7 @@ def _group_sets(group: list[bytes], k: int) -> Iterator[np.ndarray]:
             yield words[:0]
 
 
-def batches_of(batch: pa.RecordBatch, column: str, most: int = 8 * GROUP_BYTES) -> Iterator[pa.RecordBatch]:
+def batches_of(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes in a column of strings or binaries each."""
     import pyarrow.compute as pc
 

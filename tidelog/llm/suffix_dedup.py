@@ -33,14 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, save_at, table_path
+from .common import arrow_rows, drop_table, save_at, table_path, tidy
 from .packing import from_planes, pack, planes, unpack
-from .shingles import mix, power
+from .shingles import forget_powers, mix, power
 
 #: Perfect difference sets (every shift is the difference of one pair), by modulus.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27)}
 #: Bytes of text in a chunk; a longer text is a chunk of its own.
 CHUNK = 4_000_000
+#: Chunks, or what they send to a bucket, that a task gets at a time.
+CHUNK_ROWS = 16
 #: Bytes of text for each bucket, which a task sorts in memory; there are MIN_BUCKETS at least, and as many more as the input needs.
 BUCKET, MIN_BUCKETS = 8_000_000, 16
 #: Bits of the names that decide; those of the sample, which only discards, follow the size of the input.
@@ -205,6 +207,8 @@ def _by_row(make, names: list[str], types: list[pa.DataType]):
                 rows = list(make(batch.slice(i, 1).to_pylist()[0]))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    del rows
+        forget_powers()
 
     return run
 
@@ -267,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
     bits = min(64, max(24, total.bit_length() + 8))
     name = f"tidelog_chunks_{uuid.uuid4().hex}"
     parts = max(12, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    chunks = rows.where("id is not null").mapInArrow(_write_chunks, "chunk long, ids binary, rows binary, sizes binary, body binary")
+    chunks = rows.where("id is not null").mapInArrow(tidy(_write_chunks), "chunk long, ids binary, rows binary, sizes binary, body binary")
     paths = [table_path(spark, "chunks")]
     try:
         chunks.write.bucketBy(parts, "chunk").option("compression", "uncompressed").option("path", paths[0]).saveAsTable(name)
@@ -312,18 +316,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
             gone = at[_earlier(chunk, at, nth, least, _bits(row["merged"], len(names)))]
             return _cut(chunk, np.concatenate([decided, gone]), length, texts)
 
-        for step, name_of in ((sample, "first"), (recurse, "longer"), (merge, "merged")):
-            answers, path = save_at(_answers(table.mapInArrow(_by_row(step, *_SENT), _SENT_SCHEMA), name_of), name_of)
-            paths.append(path)
-            if step is sample:  # the places of shared names are written once, so that later passes needn't sort the whole sample again
-                places = table.join(answers, "chunk", "left").mapInArrow(_by_row(select, *_PLACES), "chunk long, at binary")
-                answers, path = save_at(places, "places")
+        with arrow_rows(spark, CHUNK_ROWS):
+            for step, name_of in ((sample, "first"), (recurse, "longer"), (merge, "merged")):
+                answers, path = save_at(_answers(table.mapInArrow(tidy(_by_row(step, *_SENT)), _SENT_SCHEMA), name_of), name_of)
                 paths.append(path)
-            table = table.join(answers, "chunk", "left")
-
-        done = _DONE if not texts else ([*_DONE[0], "kept"], [*_DONE[1], pa.string()])
-        schema = "id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts
-        cut, _ = save_at(table.mapInArrow(_by_row(finish, *done), schema), "cut")
+                if step is sample:  # the places of shared names are written once, so that later passes needn't sort the whole sample again
+                    places = table.join(answers, "chunk", "left").mapInArrow(tidy(_by_row(select, *_PLACES)), "chunk long, at binary")
+                    answers, path = save_at(places, "places")
+                    paths.append(path)
+                table = table.join(answers, "chunk", "left")
+
+            done = _DONE if not texts else ([*_DONE[0], "kept"], [*_DONE[1], pa.string()])
+            schema = "id long, row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * texts
+            cut, _ = save_at(table.mapInArrow(tidy(_by_row(finish, *done)), schema), "cut")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         for path in paths:
