@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import audio, chat_format, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter
+from tidelog.llm import audio, chat_format, common, decontaminate, license_scan, ngram_join, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter
 from tidelog.llm import shingles as word_shingles
 from tidelog.llm.components import connected_components
 from tidelog.llm.queries import SENTENCEPIECE_MODEL, URL_RULES
@@ -261,3 +261,42 @@ def test_ngram_join_sends_few_rows_at_a_time(spark, monkeypatch):
     rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, None)]
     got = {x["doc_id"]: x["component_id"] for x in ngram_join.similar_documents(docs_of(spark, rows)).collect()}
     assert got == {1: 1, 2: 1, 3: 3} and sizes == [str(ngram_join.ROWS)] and spark.conf.get(key) == before
+
+
+def test_batches_end_at_bytes_and_lose_no_row(spark):
+    """Before, a batch ended at rows alone; a row larger than a batch is one by itself."""
+    keys = [f"spark.sql.{k}" for k in ("execution.arrow.maxRecordsPerBatch", "execution.arrow.maxBytesPerBatch", "parquet.columnarReaderBatchSize")]
+    before = [spark.conf.get(k) for k in keys]
+
+    def sizes(batches):
+        for b in batches:
+            yield ngram_join.pa.RecordBatch.from_arrays([ngram_join.pa.array([b.num_rows]), ngram_join.pa.array([b.nbytes])], names=["n", "size"])
+
+    wide = spark.range(60).selectExpr("id", "repeat('x', if(id % 20 = 7, 400000, 20000)) AS t").coalesce(1)
+    with common.lean_batches(spark, 2000, 100_000):
+        got = wide.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(x["n"] for x in got) == 60 and all(x["size"] < 150_000 or x["n"] < 6 for x in got) and len(got) > 10
+    assert [spark.conf.get(k) for k in keys] == before
+
+
+def test_worker_forgets_what_other_operators_keep():
+    """Before, a codec and its known chunks, some 130 MB, stayed in a worker for the stages after it."""
+    common.kept("sentencepiece")["codec"] = "large"
+    assert list(common.tidy(iter, "sentencepiece")(iter([1]))) == [1] and common.kept("sentencepiece")
+    assert list(common.tidy(iter)(iter([1]))) == [1] and not common.kept("sentencepiece")
+
+
+def test_worker_memory_of_a_chunk():
+    """Names by short tables of powers are those of long ones, within less memory: 40 bytes for each of a chunk's, more than 70 before."""
+    n = 1_000_000
+    body = np.random.default_rng(3).integers(97, 123, n).astype(np.uint8).tobytes()
+    chunk = suffix_dedup.Chunk(np.arange(2), np.arange(2), np.array([n - 70_000, 70_000]), body)
+    at = np.array([0, 5, 65_535, 65_536, n - 70_000, n - 50])
+    letters = [int(x) for x in suffix_dedup._LETTER]
+    for i, name in zip(at.tolist(), chunk.names(at, 50).tolist(), strict=True):
+        exact = sum(letters[c] * pow(word_shingles._BASE, k, 2**64) for k, c in enumerate(body[i : i + 50])) % 2**64
+        assert name == int(word_shingles.mix(np.array([exact], np.uint64))[0])
+    chunk.total = None
+    assert _peak_mb(lambda: suffix_dedup._first_sort(chunk, 50, 13, 40)) < 40
+    marks = np.arange(0, n - 60, 900)
+    assert _peak_mb(lambda: chunk.ahead(marks, 13)) < 20 and chunk.ahead(marks, 13).sum() == 13 * len(marks)

@@ -77,33 +77,78 @@ def by_ids(docs: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return docs.join(F.broadcast(ids) if small else ids.hint("shuffle_hash"), key, how)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function of batches that at a task's end returns to the system what its Python worker has freed; an idle worker keeps it otherwise."""
+#: What this worker keeps for later tasks, by operator.
+_KEPT: dict[str, dict] = {}
 
-    def tidied(batches: Iterator) -> Iterator:
-        import ctypes
 
-        import pyarrow as pa
+def kept(operator: str) -> dict:
+    """What this worker keeps for later tasks of an operator."""
+    return _KEPT.setdefault(operator, {})
+
+
+def forget(operator: str | None) -> None:
+    """Lets go of what this worker keeps for other operators: a pipeline's stages share their workers."""
+    others = [k for k in _KEPT if k != operator]
+    for k in others:
+        del _KEPT[k]
+    if others:
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed."""
+    import ctypes
+
+    import pyarrow as pa
 
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], operator: str | None = None) -> Callable[[Iterator], Iterator]:
+    """A function of batches that at a task's end returns to the system what its Python worker has freed; an idle worker keeps it otherwise.
+
+    At the beginning the worker lets go of what it keeps for others than the operator.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        forget(operator)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-        if trim:
-            trim(0)
+        give_back()
 
     return tidied
 
 
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Meanwhile Python workers get at most so many rows at a time: an executor holds a batch, and what it has grown from, beside its heap."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows if int(before) <= 0 else min(rows, int(before))))
-    try:
+    before = int(spark.conf.get(key))
+    with _settings(spark, **{key: str(rows if before <= 0 else min(rows, before))}):
+        yield
+
+
+@contextmanager
+def lean_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """As arrow_rows(), and batches end at so many bytes; scans read a quarter of the rows at a time: columns of long texts and sets grow by doubling, in an executor's heap."""
+    scan = "spark.sql.parquet.columnarReaderBatchSize"
+    with arrow_rows(spark, rows), _settings(spark, **{"spark.sql.execution.arrow.maxBytesPerBatch": str(size), scan: str(min(rows // 4, int(spark.conf.get(scan))))}):
         yield
-    finally:
-        spark.conf.set(key, before)
 
 
 def ascii_lower(text: Column) -> Column:

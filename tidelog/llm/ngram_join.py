@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_IDS, arrow_rows, by_ids, drop_table, release, save_at, small, tidy
+from .common import BROADCAST_IDS, by_ids, drop_table, lean_batches, release, save_at, small, tidy
 from .components import connected_components
 from .packing import from_planes, pack, planes, unpack
 from .shingles import batches_of, lists_of, mix, text_sets
@@ -41,8 +41,8 @@ from .shingles import batches_of, lists_of, mix, text_sets
 HOT = 1 << 19
 #: A shingle counts as common if so many documents hold it, by counts from AT_LEAST on within slices of SLICE shingles (16 MB).
 COMMON, AT_LEAST, SLICE = 8, 2, 2_000_000
-#: Bytes of text that a task makes into sets at a time, and rows of a table that it gets at a time.
-PART, ROWS = 1_000_000, 2_000
+#: Bytes of text that a task makes into sets at a time, and rows and bytes of a table that it gets at a time.
+PART, ROWS, BATCH = 1_000_000, 2_000, 1_000_000
 #: First shingles that a task counts the members of at a time, and that a range of hashes has about.
 MEMBERS = 500_000
 #: Pivots of a region in the first round; later rounds take MORE times as many.
@@ -294,7 +294,7 @@ def similar_documents(docs: DataFrame, k: int = 5, percent: int = 75, key: str =
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie between 50 and 100")
-    with arrow_rows(docs.sparkSession, ROWS):
+    with lean_batches(docs.sparkSession, ROWS, BATCH):
         return _classes(docs, k, percent, key, text)
 
 

@@ -19,15 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import kept, tidy
 
 MARK = "▁"
 #: Kinds of pieces in the protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: A worker keeps at most twice so many chunks, of at most so many characters each; those not met lately go first.
 CACHE_CHUNKS, CACHE_CHARS = 150_000, 64
-#: Codecs of this worker, by model and kind of check.
-_CODECS: dict[tuple[bytes, str], Codec] = {}
 #: Texts are handled in groups of about so many characters.
 GROUP_CHARS = 1_000_000
 
@@ -268,10 +266,11 @@ class Codec:
 
 
 def codec(proto: bytes, parity: str) -> Codec:
-    """The codec of this worker; it is built once and serves later tasks too."""
-    if (proto, parity) not in _CODECS:
-        _CODECS[proto, parity] = Codec(proto, parity)
-    return _CODECS[proto, parity]
+    """The codec of this worker; it is built once and serves later tasks too, until the worker gets a task of another operator."""
+    codecs = kept("sentencepiece")
+    if (proto, parity) not in codecs:
+        codecs[proto, parity] = Codec(proto, parity)
+    return codecs[proto, parity]
 
 
 def encode_texts(docs: DataFrame, model_path: str, text: str = "text", parity: str = "chunks") -> DataFrame:
@@ -315,7 +314,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", parity: s
                 agree = pa.array([s for _, s in rows], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part[c] for c in rest] + [lists, sizes, back, agree], names=[*rest, *new])
 
-    return docs.select(*rest).mapInArrow(tidy(run), schema)
+    return docs.select(*rest).mapInArrow(tidy(run, "sentencepiece"), schema)
 
 
 def _groups(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:

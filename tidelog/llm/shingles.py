@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Texts are hashed in groups of about so many bytes; a group takes some 70 times as many in memory.
 GROUP_BYTES = 200_000
+#: Bytes of a long text that are handled at a time.
+BLOCK = 1 << 16
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _LETTER = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 _PLACE = _rng.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
@@ -32,6 +34,31 @@ def forget_powers() -> None:
         _powers[name] = found[: 2 * GROUP_BYTES].copy()
 
 
+def powers_at(name: str, at: np.ndarray) -> np.ndarray:
+    """Powers with some exponents, each as a product of two from short tables."""
+    low = power(name, BLOCK)
+    return low[at % BLOCK] * _steps(name, int(at.max()) // BLOCK + 1 if len(at) else 0)[at // BLOCK]
+
+
+def _steps(name: str, n: int) -> np.ndarray:
+    """The first n powers whose exponents are multiples of BLOCK."""
+    base = np.uint64(pow(_BASE if name == "up" else pow(_BASE, -1, 2**64), BLOCK, 2**64))
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n - 1, 0), base)]), dtype=np.uint64)[:n]
+
+
+def sums_before(raw: np.ndarray, letter: np.ndarray) -> np.ndarray:
+    """At each byte, and at the end, the sum over all bytes before of the letter's number times the power of its place; beside the sums only a block is held."""
+    total = np.zeros(len(raw) + 1, np.uint64)
+    low = power("up", BLOCK)
+    for i, step in zip(range(0, len(raw), BLOCK), _steps("up", -(-len(raw) // BLOCK)), strict=True):
+        part = letter[raw[i : i + BLOCK]]
+        part *= low[: len(part)]
+        part *= step
+        out = np.cumsum(part, out=total[i + 1 : i + 1 + len(part)])
+        out += total[i]
+    return total
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads 64 bits (the finish of a common hash function)."""
     h = h ^ (h >> np.uint64(33))

@@ -33,9 +33,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, drop_table, save_at, table_path, tidy
+from .common import drop_table, lean_batches, save_at, table_path, tidy
 from .packing import from_planes, pack, planes, unpack
-from .shingles import forget_powers, mix, power
+from .shingles import forget_powers, mix, powers_at, sums_before
 
 #: Perfect difference sets (every shift is the difference of one pair), by modulus.
 COVERS = {7: (1, 2, 4), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (1, 5, 11, 24, 25, 27)}
@@ -64,11 +64,9 @@ class Chunk:
 
     def names(self, at: np.ndarray, width: int) -> np.ndarray:
         """A hash of the ``width`` bytes from each of some positions on, by sums over all bytes before."""
-        n = len(self.raw)
         if self.total is None:
-            self.total = np.zeros(n + 1, np.uint64)
-            np.cumsum(_LETTER[self.raw] * power("up", max(n, CHUNK + 1))[:n], out=self.total[1:])
-        return mix((self.total[at + width] - self.total[at]) * power("down", max(n, CHUNK + 1))[at])
+            self.total = sums_before(self.raw, _LETTER)
+        return mix((self.total[at + width] - self.total[at]) * powers_at("down", at))
 
     def sampled(self, length: int, v: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions of the difference cover with length - v + 1 bytes behind them, and the names of these bytes."""
@@ -80,15 +78,18 @@ class Chunk:
 
     def near(self, sample: np.ndarray, v: int) -> np.ndarray:
         """Whether a position reaches one of the sampled ones by a shift below v."""
-        n = len(self.raw)
-        step = np.bincount(np.maximum(sample - v + 1, 0), minlength=n + 1) - np.bincount(sample + 1, minlength=n + 1)
-        return np.cumsum(step[:n]) > 0
+        return _covered(np.maximum(sample - v + 1, 0), sample + 1, len(self.raw))
 
     def ahead(self, known: np.ndarray, v: int) -> np.ndarray:
         """Whether a position is one of the known ones or less than v behind it."""
-        n = len(self.raw)
-        step = np.bincount(known, minlength=n + 1)[: n + 1] - np.bincount(known + v, minlength=n + 1)[: n + 1]
-        return np.cumsum(step[:n]) > 0
+        return _covered(known, known + v, len(self.raw))
+
+
+def _covered(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+    """Whether each of n positions lies in one of the ranges; a range may end beyond n."""
+    step = np.bincount(begin, minlength=n + 1)[: n + 1]
+    step -= np.bincount(end, minlength=n + 1)[: n + 1]
+    return np.cumsum(step, out=step)[:n] > 0
 
 
 def _send(key: int, names: np.ndarray, least: np.ndarray | None, several: np.ndarray | None, buckets: int, bits: int) -> Iterator[tuple]:
@@ -316,7 +317,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
             gone = at[_earlier(chunk, at, nth, least, _bits(row["merged"], len(names)))]
             return _cut(chunk, np.concatenate([decided, gone]), length, texts)
 
-        with arrow_rows(spark, CHUNK_ROWS):
+        with lean_batches(spark, CHUNK_ROWS, CHUNK):
             for step, name_of in ((sample, "first"), (recurse, "longer"), (merge, "merged")):
                 answers, path = save_at(_answers(table.mapInArrow(tidy(_by_row(step, *_SENT)), _SENT_SCHEMA), name_of), name_of)
                 paths.append(path)
@@ -342,8 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, key: str = "doc_id", text:
 def _cut(chunk: Chunk, gone: np.ndarray, length: int, texts: bool) -> Iterator[tuple]:
     """What is left of each document without the strings that start at the positions in gone."""
     n = len(chunk.raw)
-    step = np.bincount(gone, minlength=n + 1)[: n + 1] - np.bincount(gone + length, minlength=n + 1)[: n + 1]
-    removed = np.cumsum(step[:n]) > 0
+    removed = _covered(gone, gone + length, n)
     for i, (a, b) in enumerate(zip(chunk.starts[:-1].tolist(), chunk.starts[1:].tolist(), strict=True)):
         out = removed[a:b]
         lost = int(np.count_nonzero(out))
