@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog.llm import decontaminate, ngram_join, quality, sentencepiece_codec, suffix_dedup
-from tidelog.llm.common import by_ids, save
+from tidelog.llm.common import by_ids, save, shrink
 from tidelog.llm.queries import SENTENCEPIECE_MODEL, held_out, table
 
 
@@ -42,6 +42,7 @@ def keep_first(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: strings of 50 bytes that an earlier document has are cut out of the text; n_chars follows."""
+    shrink(spark)  # the stage before has run some hundred short queries
     counts = docs.agg(F.count("doc_id").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     row = "doc_id"
     if counts["n"] != counts["ids"]:  # rows that share a doc_id are told apart by a number that is written down
@@ -60,6 +61,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece: the ids of every text, how many, and whether they decode to the text and are those of the other library."""
+    shrink(spark)
     out = sentencepiece_codec.encode_texts(docs, SENTENCEPIECE_MODEL)
     return out.withColumn("round_trip", F.col("decoded") == F.col("text")).select("doc_id", "lang", "source", "ids", "n_tokens", "parity", "round_trip")
 

@@ -300,3 +300,15 @@ def test_worker_memory_of_a_chunk():
     assert _peak_mb(lambda: suffix_dedup._first_sort(chunk, 50, 13, 40)) < 40
     marks = np.arange(0, n - 60, 900)
     assert _peak_mb(lambda: chunk.ahead(marks, 13)) < 20 and chunk.ahead(marks, 13).sum() == 13 * len(marks)
+
+
+def test_shrink_collects_an_executors_garbage(spark):
+    """In local mode the executor is the driver's JVM; before, only a driver's garbage was collected."""
+
+    def collections() -> int:
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans)
+
+    before = collections()
+    common.shrink(spark)
+    assert collections() >= before + 2 * spark.sparkContext.defaultParallelism
